@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, packing, quality, shards, urls
+from quarry.llm import bpe, langid, packing, quality, rules, shards, urls
 from quarry.session import table
 
 
@@ -28,6 +28,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages, urls.page_trials(pages, table(spark, sf_dir, "labels")))
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_bpe_trie": op2_bpe_trie,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_divergence_rules": op6_divergence_rules,
         "op7_url_reputation": op7_url_reputation,
         "op8_vector_sharding": op8_vector_sharding,
         "op9_bin_completion": op9_bin_completion,
