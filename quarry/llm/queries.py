@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, packing, quality, rules, shards, urls
+from quarry.llm import bpe, langid, minhash, packing, quality, rules, shards, urls
 from quarry.session import table
 
 
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_bpe_trie": op2_bpe_trie,
+        "op3_multi_index_minhash": op3_multi_index_minhash,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_divergence_rules": op6_divergence_rules,
         "op7_url_reputation": op7_url_reputation,
