@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, minhash, packing, quality, rules, shards, urls
+from quarry.llm import bpe, langid, lines, minhash, packing, quality, rules, shards, urls
 from quarry.session import table
 
 
@@ -28,6 +28,12 @@ def op3_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept")
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_bpe_trie": op2_bpe_trie,
         "op3_multi_index_minhash": op3_multi_index_minhash,
+        "op4_fuzzy_lines": op4_fuzzy_lines,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_divergence_rules": op6_divergence_rules,
         "op7_url_reputation": op7_url_reputation,
