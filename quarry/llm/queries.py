@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, lines, minhash, packing, quality, rules, shards, urls
+from quarry.llm import ann, bpe, langid, lines, minhash, packing, quality, rules, shards, urls
 from quarry.session import table
 
 
@@ -63,6 +63,10 @@ def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_reputation": op7_url_reputation,
         "op8_vector_sharding": op8_vector_sharding,
         "op9_bin_completion": op9_bin_completion,
+        "op10_pruned_graph": op10_pruned_graph,
     }
 
 
