@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Entries that a worker remembers in each of two generations; older ones are dropped and made again.
-MEMO = 500_000
+MEMO = 600_000
 END = "</w>"
 #: Below this code point, letter and digit classes are the same in every Unicode version in use.
 STABLE = 0x0530
@@ -48,6 +48,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+class Memo(dict):
+    """Ids of pieces of text, in two generations; what neither knows comes out as None and is noted in ``missing``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.missing: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        code = self.old.get(chunk)
+        if code is None:
+            self.missing.add(chunk)
+        else:
+            self[chunk] = code
+        return code
+
+    def age(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encoder and decoder of one vocabulary file; one per Python worker (see ``load``)."""
 
@@ -73,9 +95,11 @@ class Encoder:
         self.longest = max(map(len, self.ids))
         self.packed = [struct.pack("<I", i) for i in range(size)]
         self.letters = dict(enumerate(byte_letters())) | {10: "\n"}
-        self.stable_pairs: dict[int, bool] = {}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # by token (last: at the start): what may follow it inside a word, and to its end; filled as needed
+        self.follow: list[dict[str, int]] = [{} for _ in range(size + 1)]
+        self.end_follow: list[dict[str, int]] = [{} for _ in range(size + 1)]
+        self.followed = 0
+        self.new = Memo()
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the text of ``a`` then ``b`` is encoded as just these two tokens.
@@ -83,16 +107,11 @@ class Encoder:
         Both are taken apart along the seam, latest merge first; a merge across the seam that comes
         before the merge which hides it would have been made instead.
         """
-        key = a << 20 | b
-        known = self.stable_pairs.get(key)
-        if known is not None:
-            return known
         first, second, bar, left, right, merged = a, b, 1 << 60, self.left, self.right, self.merged
         while True:
             across = merged.get(first << 20 | second)
             if across is not None and across < bar:
-                good = False
-                break
+                return False
             # a later merge on the left, or one on the right: undo the later one of the two
             if first > second and right[first] != first:
                 bar, first = first, right[first]
@@ -101,12 +120,7 @@ class Encoder:
             elif right[first] != first:
                 bar, first = first, right[first]
             else:
-                good = True
-                break
-        if len(self.stable_pairs) >= MEMO:
-            self.stable_pairs.clear()
-        self.stable_pairs[key] = good
-        return good
+                return True
 
     def words(self, spelled: Iterable[str]) -> dict[str, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words spelled in byte letters.
@@ -114,12 +128,12 @@ class Encoder:
         Of all tokens that end at a place just one can be the last there, so they are tried from the
         shortest, which is the likeliest.
         """
-        ids, longest, stable, packed = self.ids, self.longest, self.stable, self.packed
-        pairs, ends = self.stable_pairs, self.ends
+        longest, packed, follow, grow = self.longest, self.packed, self.follow, self.grow
+        end_follow, end_grow = self.end_follow, self.end_grow
         out: dict[str, bytes] = {}
-        last, done = [0], [b""]  # by prefix length: last token, and all tokens so far
+        last, done = [-1], [b""]  # by prefix length: last token (-1: none), and all tokens so far
         before = ""
-        for word in sorted(set(spelled)):
+        for word in sorted(spelled):
             n = len(word)
             shared, most = 0, min(n, len(before)) - 1
             while shared < most and word[shared] == before[shared]:
@@ -127,31 +141,45 @@ class Encoder:
             del last[shared + 1 :], done[shared + 1 :]
             for i in range(shared + 1, n):
                 for j in range(i - 1, max(-1, i - longest - 1), -1):
-                    t = ids.get(word[j:i])
-                    if t is not None:
-                        if j:
-                            good = pairs.get(last[j] << 20 | t)
-                            if good is None:
-                                good = stable(last[j], t)
-                            if not good:
-                                continue
+                    a, piece = last[j], word[j:i]
+                    t = follow[a].get(piece)
+                    if t is None:
+                        t = grow(a, piece)
+                    if t >= 0:
                         last.append(t)
                         done.append(done[j] + packed[t])
                         break
             for j in range(n - 1, max(-1, n - longest - 1), -1):
-                t = ends.get(word[j:])
-                if t is not None:
-                    if j:
-                        good = pairs.get(last[j] << 20 | t)
-                        if good is None:
-                            good = stable(last[j], t)
-                        if not good:
-                            continue
+                a, piece = last[j], word[j:]
+                t = end_follow[a].get(piece)
+                if t is None:
+                    t = end_grow(a, piece)
+                if t >= 0:
                     out[word] = done[j] + packed[t]
                     break
             before = word
         return out
 
+    def grow(self, a: int, piece: str) -> int:
+        """The token spelled ``piece``, if it may come right after token ``a`` (-1: at the start), or -1; remembered."""
+        return self._grow(self.follow, self.ids, a, piece)
+
+    def end_grow(self, a: int, piece: str) -> int:
+        """The same for the token that ends a word."""
+        return self._grow(self.end_follow, self.ends, a, piece)
+
+    def _grow(self, follow: list[dict[str, int]], ids: dict[str, int], a: int, piece: str) -> int:
+        t = ids.get(piece, -1)
+        if t >= 0 and a >= 0 and not self.stable(a, t):
+            t = -1
+        self.followed += 1
+        if self.followed > 4 * MEMO:
+            self.followed = 0
+            for known in (*self.follow, *self.end_follow):
+                known.clear()
+        follow[a][piece] = t
+        return t
+
     def spell(self, words: list[str]) -> list[str]:
         """Words in byte letters; none of them holds a line feed."""
         return "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n") if words else []
@@ -181,7 +209,7 @@ class Encoder:
                 far += some  # normalising led out of the stable range, or away from one piece a word
                 continue
             found = WORDS_OR_SPACE.findall(line)
-            distinct = [w for w in set(found) if w != " "]
+            distinct = list(set(found).difference((" ",)))
             spelled = self.spell(distinct)
             coded = self.words(spelled)
             of = {w: coded[x] for w, x in zip(distinct, spelled, strict=True)}
@@ -218,17 +246,17 @@ class Encoder:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
-        seen = set().union(*group)
-        if len(self.new) + len(seen) > MEMO:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = seen.difference(new)
-        kept = missing.intersection(old)
-        new.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        self.learn(missing.difference(kept))
+        new = self.new
+        new.age()
         get = new.__getitem__
-        for chunks in group:
-            yield b"".join(map(get, chunks))
+        coded = [list(map(get, chunks)) for chunks in group]
+        missing, new.missing = new.missing, set()
+        self.learn(missing)
+        for chunks, codes in zip(group, coded, strict=True):
+            try:
+                yield b"".join(codes)
+            except TypeError:  # some were missing
+                yield b"".join([get(c) if code is None else code for c, code in zip(chunks, codes, strict=True)])
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library decodes with special tokens kept: the file names no decoder, so tokens are joined by spaces."""
