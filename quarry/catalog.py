@@ -302,7 +302,7 @@ USER_MODEL = TRAIN + f", pairs AS (SELECT * FROM ({pearson_sql('means', 'user',
 ABOVE = """, um AS (SELECT "user", avg(rating) AS mean FROM means GROUP BY 1), asked AS (SELECT DISTINCT "user", item FROM test),
  near AS (SELECT * FROM (SELECT t."user", t.item, m.s, r.rating, b.mean AS mean_b, row_number() OVER (PARTITION BY t."user", t.item ORDER BY m.s DESC, m.b) AS k
   FROM asked t JOIN model m ON m.a = t."user" JOIN means r ON r."user" = m.b AND r.item = t.item JOIN um b ON b."user" = m.b) WHERE k <= {n}),
- above AS (SELECT "user", item, round(mean + sum(s * (rating - mean_b)) / sum(s), 6) AS prediction FROM near JOIN um USING ("user") GROUP BY "user", item, mean)"""
+ above AS (SELECT "user", item, mean + sum(s * (rating - mean_b)) / sum(s) AS prediction FROM near JOIN um USING ("user") GROUP BY "user", item, mean)"""
 
 
 @query("avg_ratings", f'WITH {MEANS} SELECT "user", item, round(rating, 9) AS rating FROM means')
@@ -319,13 +319,13 @@ def item_pearson(spark, sf_dir):
 
 @query("item_cf_predict", f"""WITH {ITEM_MODEL}, asked AS (SELECT DISTINCT "user", item FROM test), near AS (SELECT * FROM (SELECT t."user", t.item, m.s, r.rating,
  row_number() OVER (PARTITION BY t."user", t.item ORDER BY m.s DESC, m.b) AS k FROM asked t JOIN model m ON m.a = t.item JOIN means r ON r."user" = t."user" AND r.item = m.b) WHERE k <= 3)
- SELECT "user", item, round(sum(s * rating) / sum(s), 5) AS prediction FROM near GROUP BY 1, 2""")
+ SELECT "user", item, round(sum(s * rating) / sum(s), 4) AS prediction FROM near GROUP BY 1, 2""")
 def item_cf_predict(spark, sf_dir):
     rated = cut(train(spark, sf_dir))
     model = similarity.both_ways(similarity.pearson(rated, "item", "user", "rating", 3).where(F.col("similarity") > 1e-9))
     asked = test(spark, sf_dir).select("user", "item").distinct()
     found = recommend.item_predictions(asked, rated, model, 3)
-    return found.select("user", "item", F.round("prediction", 5).alias("prediction"))
+    return found.select("user", "item", F.round("prediction", 4).alias("prediction"))
 
 
 USER_LSH = RATINGS + """, train AS (SELECT * FROM ratings WHERE event_id % 10 <> 0 AND item < 95),
@@ -375,7 +375,7 @@ def user_model(spark, sf_dir):
 
 
 @query("user_cf_fallback", f"""WITH {USER_MODEL}{ABOVE.format(n=20)}, im AS (SELECT item, avg(rating) AS item_mean FROM means GROUP BY 1)
- SELECT t.event_id, t."user", t.item, round(CASE WHEN item_mean IS NOT NULL THEN coalesce(a.prediction, round(item_mean, 6)) ELSE coalesce(round(um.mean, 6), 4.8) END, 4) AS prediction,
+ SELECT t.event_id, t."user", t.item, round(CASE WHEN item_mean IS NOT NULL THEN coalesce(a.prediction, item_mean) ELSE coalesce(um.mean, 4.8) END, 4) AS prediction,
  CASE WHEN item_mean IS NOT NULL AND a.prediction IS NOT NULL THEN 'near' WHEN item_mean IS NOT NULL THEN 'item' WHEN um.mean IS NOT NULL THEN 'user' ELSE 'default' END AS path
  FROM test t LEFT JOIN im ON im.item = t.item LEFT JOIN um ON um."user" = t."user" LEFT JOIN above a ON a."user" = t."user" AND a.item = t.item""")
 def user_cf_fallback(spark, sf_dir):
@@ -490,7 +490,7 @@ def nearest_centroid(spark, sf_dir):
 def mahalanobis_assign(spark, sf_dir):
     points = _labelled_points(spark, sf_dir)
     clusters = cluster.described(cluster.statistics(points)).select("cluster", "centre", "variance")
-    return cluster.first_within(points.select("id", "vector"), clusters, 1.0)
+    return cluster.first_within(points.select("id", "vector"), clusters, 1.0).select("id", "cluster")
 
 
 @query("farthest_first")

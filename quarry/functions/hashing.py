@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def bytes_modulo(text: Column, modulus: int) -> Column:
     """The UTF-8 bytes of ``text`` read as one big-endian integer, modulo ``modulus``: a Horner fold, so any length is exact."""
-    codes = F.transform(F.split(F.hex(F.encode(text, "utf-8")), "(?<=\\G..)"), lambda h: F.when(h == "", 0).otherwise(F.conv(h, 16, 10).cast("long")))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"))
+    codes = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: (a * 256 + x) % modulus)
 
 

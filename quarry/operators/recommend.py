@@ -21,7 +21,7 @@ def item_predictions(test: DataFrame, rated: DataFrame, model: DataFrame, n: int
     near = test.join(model, test["item"] == model["a"]).drop("a").join(mine, ["user", "b"])
     near = nearest(near, ["user", "item"], n)
     value = F.sum(F.col("similarity") * F.col("rating")) / F.sum("similarity")
-    return near.groupBy("user", "item").agg(F.round(value, 6).alias("prediction"))
+    return near.groupBy("user", "item").agg(value.alias("prediction"))
 
 
 def user_predictions(test: DataFrame, rated: DataFrame, model: DataFrame, n: int = 5) -> DataFrame:
@@ -34,7 +34,7 @@ def user_predictions(test: DataFrame, rated: DataFrame, model: DataFrame, n: int
     near = nearest(near, ["user", "item"], n)
     above = F.sum(F.col("similarity") * (F.col("rating") - F.col("mean_b"))) / F.sum("similarity")
     return near.groupBy("user", "item").agg(above.alias("above")).join(means, "user").select(
-        "user", "item", F.round(F.col("mean") + F.col("above"), 6).alias("prediction")
+        "user", "item", (F.col("mean") + F.col("above")).alias("prediction")
     )
 
 
@@ -49,7 +49,7 @@ def with_fallbacks(test: DataFrame, rated: DataFrame, model: DataFrame, n: int =
     near = user_predictions(test.select("user", "item").distinct(), rated, model, n).withColumnRenamed("prediction", "near")
     joined = test.join(items, "item", "left").join(users, "user", "left").join(near, ["user", "item"], "left")
     known = F.col("item_mean").isNotNull()
-    value = F.when(known, F.coalesce("near", F.round("item_mean", 6))).otherwise(F.coalesce(F.round("user_mean", 6), F.lit(default)))
+    value = F.when(known, F.coalesce("near", "item_mean")).otherwise(F.coalesce("user_mean", F.lit(default)))
     path = (
         F.when(known & F.col("near").isNotNull(), "near")
         .when(known, "item")

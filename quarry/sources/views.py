@@ -60,7 +60,11 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """``events`` replayed as a stream, with an event time that watermarks accept."""
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(source)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if len(spark.read.parquet(source).inputFiles()) == 1:  # a single file: streams read folders
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(source)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
