@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.minhash import BLOCK, _sieve, _sieve_places
+from quarry.llm.minhash import _sieve, _sieve_places
 from quarry.llm.shingles import mix
 from quarry.llm.unionfind import components
 from quarry.session import cut
@@ -37,10 +37,10 @@ WIDTH = 8
 BINS, ROWS = 40, 4
 BANDS = BINS // ROWS
 PERCENT = 80
-#: Signature bins that two lines of the wanted similarity may differ in, five deviations above the mean.
-REACH = 21
+#: Signature bins that two lines of the wanted similarity may differ in, six deviations above the mean.
+REACH = 24
 _random = np.random.default_rng(20240307)
-PLACE = _random.integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACE = _random.integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(line: str) -> str:
@@ -57,13 +57,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    codes = np.concatenate([codes, np.zeros(WIDTH, np.uint64)])
-    h = codes[: len(codes) - WIDTH] * PLACE[0]
-    for k in range(1, WIDTH):
-        h += codes[k : len(codes) - WIDTH + k] * PLACE[k]
+    h = np.concatenate([codes, np.zeros(WIDTH, np.uint64)])
+    for k, multiplier in zip((1, 2, 4), PLACE, strict=True):  # of one, two, four and then eight characters
+        h = h[:-k] * multiplier + h[k:]
+        h ^= h >> np.uint64(29)
     n = np.maximum(size - WIDTH + 1, 1)
     rows = np.repeat(np.arange(len(lines)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
     found = mix(h[at])
     short = np.flatnonzero(size < WIDTH)
     if len(short):  # the whole line is the shingle
@@ -75,14 +75,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str]) -> np.ndarray:
     """Lines x bins of 16-bit symbols."""
     h, rows = shingle_hashes(lines)
-    slot = rows * BINS + (h % np.uint64(BINS)).astype(np.int64)
-    value = h >> np.uint64(24)
-    order = np.argsort((slot.astype(np.uint64) << np.uint64(40)) | value)
-    slot = slot[order]
-    first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
+    # row and bin in the upper bits, value in the lower: after sorting, the first of each bin is its least
+    slot = rows.astype(np.uint64) * np.uint64(BINS) + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32))
+    packed = np.sort(slot << np.uint64(40) | (h & np.uint64((1 << 40) - 1)))
+    slot = (packed >> np.uint64(40)).astype(np.int64)
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
     least = np.zeros(len(lines) * BINS, np.uint64)
     full = np.zeros(len(lines) * BINS, bool)
-    least[slot[first]] = value[order][first]
+    least[slot[first]] = packed[first] & np.uint64((1 << 40) - 1)
     full[slot[first]] = True
     least, full = least.reshape(-1, BINS), full.reshape(-1, BINS)
     # an empty bin takes the value of the next full one, told apart by how far it had to go
@@ -146,7 +146,7 @@ def _distinct_lines(batch: pa.RecordBatch, seen: set[int], most: int = 1 << 18)
                     nodes.append(p)
                     lines.append(x)
                     held += len(x)
-        if held > 1 << 20:
+        if held > 1 << 20 or len(lines) > 1 << 18:
             yield nodes, lines
             nodes, lines, held = [], [], 0
     if nodes:
@@ -196,13 +196,15 @@ def shingle_set(line: str) -> set[str]:
 
 
 def confirmed(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``a, b`` whose full shingle sets have 100 * intersection >= percent * union."""
-    of_a = lines.select(F.col("node").alias("a"), F.col("content").alias("x"))
-    of_b = lines.select(F.col("node").alias("b"), F.col("content").alias("y"))
-    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y")
+    """Those of ``a, b`` within ``REACH`` whose full shingle sets have 100 * intersection >= percent * union."""
+    of_a = lines.select(F.col("node").alias("a"), F.col("content").alias("x"), F.col("signature").alias("sx"))
+    of_b = lines.select(F.col("node").alias("b"), F.col("content").alias("y"), F.col("signature").alias("sy"))
+    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y", "sx", "sy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            near = (_symbols(batch.column(4)) != _symbols(batch.column(5))).sum(axis=1) <= REACH
+            batch = batch.filter(pa.array(near))
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = shingle_set(x), shingle_set(y)
@@ -216,40 +218,64 @@ def confirmed(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+
+
+def pairs_of_groups(key: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows with equal (adjacent) keys, in portions of about ``most`` pairs, whatever the groups' sizes."""
+    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
+    group = np.repeat(starts, np.diff(np.append(starts, len(key))))
+    before = np.arange(len(key)) - group  # earlier rows of the same key
+    ends = np.cumsum(before)
+    at = 0
+    while at < len(key):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        n = before[at:upto]
+        rows = np.repeat(np.arange(at, upto), n)
+        yield rows, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + group[rows]
+        at = upto
+
+
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """``a, b`` of different components of one key whose signatures are near: each member against the key's members, in blocks.
+    """``a, b`` of different components of one key whose signatures are near, compared portion by portion.
 
-    ``members``: ``key, node, component, signature, part``; rows of a part are compared with each other (see ``links``).
+    ``members``: ``key, node, component, signature``, each key's rows together in one partition.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-        if table is None or not len(table):
-            return
-        key = table.column("key").to_numpy()
+    def near(table: pa.Table) -> pa.RecordBatch:
         node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
-        symbols = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, BINS)
-        edges = np.flatnonzero(np.diff(key)) + 1
-        out = []
-        for lo, hi in zip([0, *edges], [*edges, len(key)], strict=True):
-            for i in range(lo, hi, BLOCK):
-                for j in range(lo, i + 1, BLOCK):
-                    x, y = slice(i, min(hi, i + BLOCK)), slice(j, min(hi, j + BLOCK))
-                    r, c = np.nonzero(part[x, None] > part[None, y]) if i == j else np.nonzero(part[x, None] != part[None, y])
-                    for at in range(0, len(r), 1 << 18):
-                        rr, cc = r[at : at + (1 << 18)] + i, c[at : at + (1 << 18)] + j
-                        near = (symbols[rr] != symbols[cc]).sum(axis=1) <= REACH
-                        out.append(np.stack([np.maximum(node[rr[near]], node[cc[near]]), np.minimum(node[rr[near]], node[cc[near]])]))
-        if out:
-            found = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        symbols, out = _symbols(table.column("signature")), [np.empty((2, 0), np.int64)]
+        for r, c in pairs_of_groups(table.column("key").to_numpy()):
+            apart = part[r] != part[c]
+            r, c = r[apart], c[apart]
+            ok = (symbols[r] != symbols[c]).sum(axis=1) <= REACH
+            out.append(np.stack([np.maximum(node[r[ok]], node[c[ok]]), np.minimum(node[r[ok]], node[c[ok]])]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows whose last key may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # keys ascend
+            if last:
+                yield near(table.slice(0, last))
+                held = table.slice(last).to_batches()
+        if held:
+            yield near(pa.Table.from_batches(held))
 
     return members.mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links between nodes, enough to give the components of all confirmed links."""
-    keys = banded(docs)
+    # one exchange, used twice: for each key's first member, and to give it to the others
+    keys = banded(docs).repartition("key")
     stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where(F.col("b") < F.col("_last"))
     shared = cut(keys.join(stars.select("key", "b"), "key").distinct())
     starred = cut(shared.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct())
