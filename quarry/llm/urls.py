@@ -4,7 +4,7 @@ Each labelled page is a trial that comes out good or bad. The share of bad outco
 overall share, that of a registered domain to its suffix, that of a host to its domain, each through a beta prior
 whose weight is fitted by the method of moments to the spread between the units of that level (in ``WEIGHTS``'
 bounds). A host is blocked when the lower bound of its posterior (mean less ``Z`` standard deviations) is above
-``BLOCK_ABOVE``. Hosts without labels take over their domain's posterior mean through the prior, with its spread.
+``BLOCK_ABOVE``. A unit's own trials are left out of its prior. Hosts without labels take over their domain's posterior mean through the prior, with its spread.
 
 Defined results: null urls and urls without ``://`` have the empty host and path, and are judged as the host ``''``;
 urls are cut as they are, so ports and user parts stay in the host; ties in a rule's length can't occur, as two rules of
@@ -96,9 +96,15 @@ def reputation(trials: DataFrame) -> DataFrame:
         fitted = level.agg(F.coalesce(weight(level, "prior"), F.lit(WEIGHTS[1])).alias("w"))
         return level.crossJoin(F.broadcast(fitted)).withColumn("mean", (F.col("bad") + F.col("w") * F.col("prior")) / (F.col("n") + F.col("w")))
 
+    def under(level: DataFrame, above: DataFrame, key: str) -> DataFrame:
+        """``prior`` of each unit: the posterior mean of the unit above without this unit's own trials, which must not count twice."""
+        parent = above.select(key, F.col("n").alias("_n"), F.col("bad").alias("_bad"), F.col("w").alias("_w"), F.col("prior").alias("_prior"))
+        rest = (F.col("_bad") - F.col("bad") + F.col("_w") * F.col("_prior")) / (F.col("_n") - F.col("n") + F.col("_w"))
+        return level.join(parent, key).withColumn("prior", rest).drop("_n", "_bad", "_w", "_prior")
+
     suffixes = shrink(suffixes.crossJoin(F.broadcast(overall)))
-    domains = shrink(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
-    hosts = shrink(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain"))
+    domains = shrink(under(domains, suffixes, "suffix"))
+    hosts = shrink(under(hosts, domains.drop("suffix"), "domain"))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("w") + 1))
     return hosts.select("host", "n", "bad", "mean", (F.col("mean") - Z * spread).alias("bound"))
 
