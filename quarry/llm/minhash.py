@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     parts = components(links(docs, nodes, percent))
     parts = labelled(nodes.select("print", "node"), parts).select("print", "component")
     out = signs.join(parts, "print", "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, langid, lines, minhash, packing, quality, rules, shards, urls
+from quarry.llm import ann, bpe, langid, lines, minhash, packing, quality, rules, shards, sql, urls
 from quarry.session import table
 
 
@@ -39,7 +39,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.assess(table(spark, sf_dir, "documents"))
+    return rules.assess(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
