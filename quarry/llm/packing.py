@@ -208,18 +208,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = cut(pieces)
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     where = places(bin_completion(counts, capacity))
-    cells = {n: -(-c // CELL) for n, c in counts.items()}
-    many = [(n, c) for n, c in cells.items() if c > 1]
-    key = F.xxhash64("doc_id", "piece", "start")
-    cell = F.lit(0).cast("long")
-    for n, c in many:
-        cell = F.when(F.col("length") == n, F.pmod(key, F.lit(c))).otherwise(cell)
-    ranked = pieces.withColumn("_cell", cell)
+    many = [(n, -(-c // CELL)) for n, c in counts.items() if c > CELL]  # at most ``capacity`` rows, so they go everywhere
+    ranked = pieces.withColumn("_cell", F.lit(0).cast("long"))
+    if many:
+        cells = F.broadcast(pieces.sparkSession.createDataFrame(many, "length long, _cells long"))
+        key = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_cells"))
+        ranked = pieces.join(cells, "length", "left").withColumn("_cell", F.coalesce(key, F.lit(0).cast("long"))).drop("_cells")
+    celled = ranked
     order = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start")
     ranked = ranked.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     if many:
         before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = pieces.withColumn("_cell", cell).groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = celled.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
         starts = sizes.select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         ranked = ranked.join(starts, ["length", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
     ranked = ranked.drop("_cell")
