@@ -26,6 +26,7 @@ LEAST_CHARACTERS, LEAST_WORDS = 200, 50
 BROADCAST_LANGUAGES = 256
 SPACE = r"[\x20\x09-\x0D]"
 #: Character classes; what is in none of them is the last class.
+SPACES = 3
 CLASSES = [r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[\x20\x09-\x0D]+", r"\p{P}+", r"\p{S}+"]
 
 
@@ -53,9 +54,10 @@ def repeat_words(words: Column, n: Column, windows: Column) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """Add the struct ``_m`` of base counts and ``_words`` to every row; other columns stay."""
+    """Add the struct ``_m`` of base counts, ``_words`` and ``_classes`` to every row; other columns stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
+    split = split.withColumn("_classes", classes(F.col("_text")))
     n = F.size("_words")
     w = F.col("_words")
     # the places of windows: all but the last two words
@@ -68,7 +70,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
     split = split.withColumn("_lines", lines)
     counts = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        (F.length("_text") - F.col("_classes")[SPACES]).cast("long").alias("word_chars"),
         shorter_by(F.col("_text"), r"[#*$%&|<>]+").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(w, n, F.col("_windows")).alias("n_repeat_words"),
@@ -84,31 +86,41 @@ def classes(text: Column) -> Column:
     return F.array(*found, rest)
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """``_lang, _common array<string>, _word_share, _class_share array<double>`` of each language, over all documents."""
+def common_words(docs: DataFrame) -> DataFrame:
+    """``_lang, _common array<string>, _word_share array<double>, _longest`` of each language, over all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), text.alias("_text"))
     counted = known.select("_lang", F.explode(words(F.col("_text"))).alias("word")).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy("_lang")
     order = Window.partitionBy("_lang").orderBy(F.desc("n"), "word")
     counted = cut(counted)
     sums = counted.groupBy("_lang").agg(F.sum("n").alias("_all"))
     top = counted.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= COMMON)
     top = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("_at", "word", "n"))).alias("_top"))
-    shares = top.join(sums, "_lang").select(
+    return top.join(sums, "_lang").select(
         "_lang",
         F.transform("_top", lambda x: x["word"]).alias("_common"),
         F.concat(
             F.array((F.col("_all") - F.aggregate("_top", F.lit(0).cast("long"), lambda s, x: s + x["n"])) / F.col("_all")),
             F.transform("_top", lambda x: x["n"] / F.col("_all")),
         ).alias("_word_share"),
+        F.array_max(F.transform("_top", lambda x: F.octet_length(x["word"]))).alias("_longest"),
     )
-    classed = known.select("_lang", classes(F.col("_text")).alias("_c")).groupBy("_lang").agg(
-        *[F.sum(F.col("_c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
+
+
+def class_shares(classed: DataFrame) -> DataFrame:
+    """``_lang, _class_share array<double>`` from ``lang, _classes`` of all documents."""
+    summed = classed.where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("_lang")).agg(
+        *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     )
     every = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
-    classed = classed.select("_lang", F.array(*[F.try_divide(F.col(f"c{i}"), every) for i in range(len(CLASSES) + 1)]).alias("_class_share"))
-    return shares.join(classed, "_lang")
+    return summed.select("_lang", F.array(*[F.try_divide(F.col(f"c{i}"), every) for i in range(len(CLASSES) + 1)]).alias("_class_share"))
+
+
+def small_side(references: DataFrame) -> DataFrame:
+    """Checkpointed, and marked for broadcast if the number of its languages allows it."""
+    references = cut(references)
+    few = references.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    return F.broadcast(references) if few else references
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -121,33 +133,62 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """Add ``_m`` (base counts), ``_base_failed``, ``_class_distance``, ``_word_distance`` and ``_kept`` to every row."""
-    columns = docs.columns
-    refs = cut(references(docs) if refs is None else refs)
-    small = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    refs = F.broadcast(refs) if small else refs
-    rows = with_counts(docs).join(refs, F.col("lang") == F.col("_lang"), "left")
-    code = F.transform("_words", lambda w: F.substring(F.lit(CODES), F.array_position(F.col("_common"), w).cast("int") + 1, F.lit(1)))
-    rows = rows.withColumn("_codes", F.array_join(code, "")).withColumn("_classes", classes(F.col("_text"))).drop("_words")
+def measured(docs: DataFrame) -> DataFrame:
+    """Add ``_m`` (base counts), ``_classes``, ``_length`` and ``_word_distance`` to every row.
+
+    ``_barrier`` is there for filters above: one that uses it can't be pushed below, where it would repeat every count.
+    """
+    common = small_side(common_words(docs))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = with_counts(docs).join(common, F.col("lang") == F.col("_lang"), "left")
+    # words longer than every common word need no look-up
+    place = lambda w: F.array_position(F.col("_common"), w).cast("int")
+    code = F.transform(
+        "_words",
+        lambda w: F.when(F.octet_length(w) <= F.col("_longest"), F.substring(F.lit(CODES), place(w) + 1, F.lit(1))).otherwise(F.lit(CODES[0])),
+    )
+    rows = rows.withColumn("_codes", F.array_join(code, "")).drop("_words")
     n = F.col("_m.n_words")
     found = [F.length("_codes") - F.length(F.replace("_codes", F.lit(c), F.lit(""))) for c in CODES[: COMMON + 1]]
     share = F.slice(F.transform(F.array(*found), lambda c: F.try_divide(c, n)), F.lit(1), F.size("_word_share"))
-    length = F.length("_text")
-    rows = rows.withColumn("_word_distance", F.when((n >= LEAST_WORDS) & F.col("_lang").isNotNull(), distance(share, F.col("_word_share"))))
-    class_share = F.transform("_classes", lambda c: F.try_divide(c, length))
-    rows = rows.withColumn(
-        "_class_distance", F.when((length >= LEAST_CHARACTERS) & F.col("_lang").isNotNull(), distance(class_share, F.col("_class_share")))
-    )
+    far = F.when((n >= LEAST_WORDS) & F.col("_lang").isNotNull(), distance(share, F.col("_word_share")))
+    return rows.select(*columns, "_m", "_classes", F.length("_text").alias("_length"), far.alias("_word_distance"), F.monotonically_increasing_id().alias("_barrier"))
+
+
+def verdicts(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """Add ``_class_distance``, ``_base_failed`` and ``_kept`` to measured rows."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.join(small_side(shares), F.col("lang") == F.col("_lang"), "left")
+    n = F.col("_m.n_words")
+    class_share = F.transform("_classes", lambda c: F.try_divide(c, F.col("_length")))
+    far = F.when((F.col("_length") >= LEAST_CHARACTERS) & F.col("_lang").isNotNull(), distance(class_share, F.col("_class_share")))
+    rows = rows.select(*columns, far.alias("_class_distance"))
     failed = (n < 50) | (100 * F.col("_m.n_repeat_words") > 50 * n)
     near = (F.coalesce("_word_distance", F.lit(0.0)) <= MOST_WORD_DISTANCE) & (F.coalesce("_class_distance", F.lit(0.0)) <= MOST_CLASS_DISTANCE)
-    rows = rows.withColumn("_base_failed", failed).withColumn("_kept", ~failed & near)
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_m", "_base_failed", "_class_distance", "_word_distance", "_kept")
+    return rows.withColumn("_base_failed", failed).withColumn("_kept", ~failed & near)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Every row with ``_m`` (base counts), ``_word_distance``, ``_class_distance``, ``_base_failed`` and ``_kept``; whole rows
+    pass through, so the classes are counted once for the references and once with the rows."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    shares = class_shares(docs.select("lang", classes(text).alias("_classes")))
+    return verdicts(measured(docs), shares).drop("_classes", "_length")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows that pass, whole."""
+    return judge(docs).where(F.col("_kept") & (F.col("_barrier") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed`` and ``kept`` of every document."""
-    return judge(docs.select("doc_id", "text", "lang")).select(
-        "doc_id", "_m.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
-        F.round("_class_distance", 6).alias("class_distance"), F.round("_word_distance", 6).alias("word_distance"),
+    """``doc_id``, the base counts, ``base_failed`` and ``kept`` of every document: texts are measured once."""
+    rows = cut(measured(docs.select("doc_id", "text", "lang")).drop("text"))
+    return verdicts(rows, class_shares(rows)).select(
+        "doc_id",
+        "_m.*",
+        F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+        F.round("_class_distance", 6).alias("class_distance"),
+        F.round("_word_distance", 6).alias("word_distance"),
     )
