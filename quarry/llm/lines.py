@@ -222,34 +222,49 @@ def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
 
 
-def pairs_of_groups(key: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of rows with equal (adjacent) keys, in portions of about ``most`` pairs, whatever the groups' sizes."""
-    starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.empty(0, np.int64)
-    group = np.repeat(starts, np.diff(np.append(starts, len(key))))
-    before = np.arange(len(key)) - group  # earlier rows of the same key
+def cross_places(key: np.ndarray, part: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows with equal keys and different components, in portions of about ``most`` pairs.
+
+    Rows are sorted by key and component, so the partners of a row are those from its key's start to its component's.
+    """
+    new_key = np.diff(key, prepend=key[:1] - 1) != 0
+    new_part = new_key | (np.diff(part, prepend=part[:1] - 1) != 0)
+    places = np.arange(len(key))
+    start = np.maximum.accumulate(np.where(new_key, places, 0))
+    before = np.maximum.accumulate(np.where(new_part, places, 0)) - start
     ends = np.cumsum(before)
     at = 0
     while at < len(key):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         n = before[at:upto]
-        rows = np.repeat(np.arange(at, upto), n)
-        yield rows, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + group[rows]
+        rows = np.repeat(places[at:upto], n)
+        yield rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + start[rows]
         at = upto
 
 
+def near_places(symbols: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which of the pairs differ in at most ``REACH`` symbols: by the lower bytes, eight at a time, then by all of the symbol."""
+    low, one = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+    words = np.ascontiguousarray(symbols.astype(np.uint8)).view(np.uint64)
+    apart = np.zeros(len(r), np.uint8)
+    for k in range(words.shape[1]):
+        x = words[r, k] ^ words[c, k]
+        apart += np.bitwise_count((((x & low) + low) | x) & one)
+    maybe = np.flatnonzero(apart <= REACH)
+    return maybe[(symbols[r[maybe]] != symbols[c[maybe]]).sum(axis=1) <= REACH]
+
+
 def cross_pairs(members: DataFrame) -> DataFrame:
     """``a, b`` of different components of one key whose signatures are near, compared portion by portion.
 
-    ``members``: ``key, node, component, signature``, each key's rows together in one partition.
+    ``members``: ``key, node, component, signature``, each key's rows together in one partition, by component.
     """
 
     def near(table: pa.Table) -> pa.RecordBatch:
         node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
         symbols, out = _symbols(table.column("signature")), [np.empty((2, 0), np.int64)]
-        for r, c in pairs_of_groups(table.column("key").to_numpy()):
-            apart = part[r] != part[c]
-            r, c = r[apart], c[apart]
-            ok = (symbols[r] != symbols[c]).sum(axis=1) <= REACH
+        for r, c in cross_places(table.column("key").to_numpy(), part):
+            ok = near_places(symbols, r, c)
             out.append(np.stack([np.maximum(node[r[ok]], node[c[ok]]), np.minimum(node[r[ok]], node[c[ok]])]))
         found = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
@@ -277,7 +292,8 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one exchange, used twice: for each key's first member, and to give it to the others
     keys = banded(docs).repartition("key")
     stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where(F.col("b") < F.col("_last"))
-    shared = cut(keys.join(stars.select("key", "b"), "key").distinct())
+    # few keys have two members: they are hashed, and the others need no sorting
+    shared = cut(keys.join(stars.select("key", "b").hint("shuffle_hash"), "key").distinct())
     starred = cut(shared.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct())
     ends = shared.select("node").distinct()
     lines = cut(contents(docs, ends, with_signature=True))
@@ -289,7 +305,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # two members, of which one is the star, have been compared
     mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > 2)).select("key")
     members = known.join(mixed, "key").join(lines.select("node", "signature"), "node")
-    members = members.select("key", "node", "component", "signature").repartition("key").sortWithinPartitions("key")
+    members = members.select("key", "node", "component", "signature").repartition("key").sortWithinPartitions("key", "component")
     crossed = cross_pairs(members).distinct().join(starred, ["a", "b"], "left_anti")
     return first.unionByName(confirmed(cut(crossed), lines, percent))
 

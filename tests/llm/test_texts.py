@@ -237,6 +237,21 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [7, 1 << 19])
+def test_cross_places(most):
+    rng = np.random.default_rng(0)
+    key, part = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200)
+    order = np.lexsort((part, key))
+    key, part = key[order], part[order]
+    found = [(int(a), int(b)) for r, c in lines.cross_places(key, part, most) for a, b in zip(r, c, strict=True)]
+    assert len(found) == len(set(found))
+    assert set(found) == {(i, j) for i in range(200) for j in range(i) if key[i] == key[j] and part[i] != part[j]}
+    symbols = rng.integers(0, 2, (200, lines.BINS)).astype(np.uint16) * np.uint16(256) + rng.integers(0, 2, (200, lines.BINS)).astype(np.uint16)
+    r, c = (np.array(x) for x in zip(*found, strict=True))
+    apart = (symbols[r] != symbols[c]).sum(axis=1)
+    assert set(lines.near_places(symbols, r, c).tolist()) == set(np.flatnonzero(apart <= lines.REACH).tolist())
+
+
 def test_fuzzy_lines(spark):
     base = "a line of some length that stands in many documents, with a date in it: 2021"
     texts = [base + "\nown line of the first", base.replace("2021", "2022"), base.upper() + "\n\nanother thing altogether", "short", "short"]
