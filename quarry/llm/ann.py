@@ -4,7 +4,7 @@ Equal vectors of a label are one node. Nodes of a label are put in overlapping s
 ``SAMPLE`` nodes a group, every node goes to its nearest centroid and to the second if that is nearly as near; groups
 too large for a shard are divided again. Each shard gives its nodes' adjacency lists: near nodes, robustly pruned (one is dropped if another
 kept one is ``ALPHA`` times nearer to it than the node is), with edges both ways; the lists of all shards are united.
-Then, in each shard, every node is searched from the medoid: greedy search with a beam, then range expansion from what was found
+Then every node is searched from the medoid of the shard of its nearest centroid, which also holds nodes that are there by their second: greedy search with a beam, then range expansion from what was found
 in range until nothing new is in range. Every shard audits its recall on a sample of its nodes against brute force, and
 searches again with a wider beam while it misses too much. All cosines are in double precision, so links are verified by
 construction.
@@ -150,14 +150,16 @@ def search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, bea
     return pairs[:, pairs[0] != pairs[1]]
 
 
-def audited(x: np.ndarray, neighbours: list[np.ndarray], least: float) -> np.ndarray:
-    """``search`` of all rows, with a beam wide enough for the recall asked on a sample of rows against brute force."""
+def audited(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, least: float) -> np.ndarray:
+    """``search`` of the queries, with a beam wide enough for the recall asked on a sample of them against brute force."""
     n, beam = len(x), min(BEAM, max(1, len(x)))
-    sample = np.unique(np.linspace(0, n - 1, AUDITED).astype(int))
+    if not len(queries):
+        return np.empty((2, 0), np.int64)
+    sample = queries[np.unique(np.linspace(0, len(queries) - 1, AUDITED).astype(int))]
     truth = x[sample] @ x.T >= least
     truth[np.arange(len(sample)), sample] = False
     while True:
-        pairs = search(x, neighbours, np.arange(n), beam, least)
+        pairs = search(x, neighbours, queries, beam, least)
         mine = np.isin(pairs[0], sample)
         if beam >= min(WIDEST, n) or mine.sum() >= LEAST_RECALL * truth.sum():
             return pairs
@@ -210,20 +212,27 @@ def divided(groups: DataFrame, level: int) -> DataFrame:
                 sim[np.arange(len(sim)), first] = -3
                 second = sim.argmax(axis=1)
                 also = sim[np.arange(len(sim)), second] >= best - OVERLAP
-                for chosen, some in ((first, slice(None)), (second[also], also)):
-                    piece = rows.loc[some, ["node", "times", "vector"]].copy() if not isinstance(some, slice) else rows[["node", "times", "vector"]].copy()
-                    piece["shard"] = [f"{shard}.{i}" for i in chosen]
-                    out.append(piece)
+                columns = ["node", "times", "vector", "own"]
+                piece = rows[columns].copy()
+                piece["shard"] = [f"{shard}.{i}" for i in first]
+                out.append(piece)
+                piece = rows.loc[also, columns].copy()
+                piece["own"] = False
+                piece["shard"] = [f"{shard}.{i}" for i in second[also]]
+                out.append(piece)
             if out:
-                yield pd.concat(out)[["node", "times", "vector", "shard"]]
+                yield pd.concat(out)[["node", "times", "vector", "own", "shard"]]
 
-    joined = groups.join(made, "shard").select("node", "times", "vector", "shard", "centroids")
-    return joined.mapInPandas(assign, "node long, times long, vector array<float>, shard string")
+    joined = groups.join(made, "shard").select("node", "times", "vector", "own", "shard", "centroids")
+    return joined.mapInPandas(assign, "node long, times long, vector array<float>, own boolean, shard string")
 
 
 def shards(nodes: DataFrame) -> DataFrame:
-    """``node, times, vector, shard``: overlapping shards of ``nodes`` (``node, times, vector, shard``: first by label)."""
-    final, open_ = None, nodes
+    """``node, times, vector, shard, own``: overlapping shards of ``nodes`` (``node, times, vector, shard``: first by label).
+
+    ``own`` marks the one shard of a node that its nearest centroids lead to: it is searched from there.
+    """
+    final, open_ = None, nodes.withColumn("own", F.lit(True))
     for level in range(LEVELS):
         sizes = open_.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
         sized = cut(open_.join(sizes, "shard"))
@@ -265,7 +274,7 @@ def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
             at = at[at < len(ids)] if len(at) else at
             near = np.asarray(near)[: len(at)] if len(near) == len(at) else np.asarray([v for v in near if v <= ids[-1]])
             adjacent.append(at[ids[at] == near].astype(np.int64))
-        pairs = audited(x, adjacent, least)
+        pairs = audited(x, adjacent, np.flatnonzero(part["own"].to_numpy()), least)
         pairs = np.concatenate([pairs, pairs[::-1]], axis=1)  # a link found from one side holds for both
         key = np.unique(pairs[0] * len(ids) + pairs[1])
         pairs = np.stack([key // len(ids), key % len(ids)])
