@@ -1,10 +1,12 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
 Equal vectors of a label are one node. Nodes of a label are put in overlapping shards: around centroids fitted to a sample of
-``SAMPLE`` nodes a group, every node goes to its nearest centroid and to the second if that is nearly as near; groups
-too large for a shard are divided again. Each shard gives its nodes' adjacency lists: near nodes, robustly pruned (one is dropped if another
+``SAMPLE`` nodes a group, every node goes to its nearest centroid and to every other one whose cell the cone of ``least`` around the
+node can reach, so that the shard of a node's nearest centroid holds all that the node may be linked with; groups
+too large for a shard are divided again. A group that centroids do not separate (more than ``COPIES`` copies a node, or more than half of the
+comparisons left) is compared exactly, by pairs of salted blocks, in time that grows with the square of its size. Each shard gives its nodes' adjacency lists: near nodes, robustly pruned (one is dropped if another
 kept one is ``ALPHA`` times nearer to it than the node is), with edges both ways; the lists of all shards are united.
-Then every node is searched from the medoid of the shard of its nearest centroid, which also holds nodes that are there by their second: greedy search with a beam, then range expansion from what was found
+Then every node is searched from the medoid of the shard of its nearest centroid, which also holds what its cone reaches from other cells: greedy search with a beam, then range expansion from what was found
 in range until nothing new is in range. Every shard audits its recall on a sample of its nodes against brute force, and
 searches again with a wider beam while it misses too much. All cosines are in double precision, so links are verified by
 construction.
@@ -28,9 +30,13 @@ from quarry.session import cut
 LEAST_COSINE = 0.98
 #: Nodes of a shard, about; a group of more than twice as many is divided. Centroids and sampled nodes of a division.
 SHARD, CENTROIDS, SAMPLE = 1500, 64, 2048
-#: The second centroid is taken, too, if its cosine is less by no more than this.
-OVERLAP = 0.25
+#: A group is divided if its nodes get no more copies than this on average, and no more than this share of comparisons is left.
+COPIES, LEFT = 2, 0.5
+#: Cosines may be rounded by so much.
+SLACK = 1e-9
 LEVELS = 6
+#: Nodes of a salted block, about.
+BLOCK = 4096
 NEAR, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 32
 AUDITED, LEAST_RECALL, WIDEST = 64, 0.97, 256
 #: Groups whose centroids (32 kB each) are broadcast at once; more are joined by a shuffle.
@@ -54,6 +60,14 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def reached(x: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
+    """Which centroids' cells can hold a vector whose cosine with a row is ``least`` or more: none of the others by a bisector."""
+    sim = x @ c.T
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    sine = np.sqrt(1 - least * least) if least > 0 else 2.0
+    return np.stack([(sim - sim[:, [j]] <= sine * apart[j] + SLACK).all(axis=1) for j in range(len(c))], axis=1)
+
+
 def pruned(x: np.ndarray) -> list[np.ndarray]:
     """Adjacency of each row: robustly pruned near rows, and edges back."""
     n = len(x)
@@ -180,45 +194,69 @@ def local_components(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
+def exact_links(x: np.ndarray, times: np.ndarray, rows: np.ndarray, cols: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Times of all that each row is linked with, and the smallest row reachable, by all pairs of ``rows`` with ``cols`` or, without these, with each other."""
+    n = len(x)
+    others, root = np.zeros(n, np.int64), np.arange(n)
+    against = rows if cols is None else cols
+    y = x[against]
+    for at in range(0, len(rows), 256):
+        own = rows[at : at + 256]
+        near = x[own] @ y.T >= least
+        if cols is None:
+            near[np.arange(len(own)), at + np.arange(len(own))] = False
+        u, v = np.nonzero(near)
+        u, v = own[u], against[v]
+        others += np.bincount(u, times[v], n).astype(np.int64)
+        if cols is not None:
+            others += np.bincount(v, times[u], n).astype(np.int64)
+        pairs = np.stack([root[u], root[v]])
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        if pairs.shape[1]:
+            root = local_components(n, pairs)[root]
+    return others, root
+
+
 def good_vector() -> F.Column:
     v = F.col("embedding")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return v.isNotNull() & F.coalesce(finite & F.exists(v, lambda c: c != 0), F.lit(False)) & F.col("label").isNotNull()
 
 
-def divided(groups: DataFrame, level: int) -> DataFrame:
-    """``node, vector, shard`` of nodes in groups that are too large, each in one or two of its group's parts."""
+def centres(groups: DataFrame, level: int, least: float) -> DataFrame:
+    """``shard, centroids, separates`` of groups (``shard, node, vector, n``), fitted and tried on a sample of each."""
     order = Window.partitionBy("shard").orderBy(F.xxhash64("node", F.lit(level)), "node")
     # each partition keeps no more than the sample of a group before the exchange
     sample = groups.select("shard", "node", "vector", "n").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= SAMPLE)
 
     def centroids(part: pd.DataFrame) -> pd.DataFrame:
         k = int(min(CENTROIDS, -(-part["n"].iloc[0] // SHARD), len(part)))
-        c = fit_centroids(unit(part.sort_values("_at")["vector"].tolist()), k)
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "centroids": [[list(map(float, v)) for v in c]]})
+        x = unit(part.sort_values("_at")["vector"].tolist())
+        c = fit_centroids(x, k)
+        copies = reached(x, c, least)
+        own = np.bincount((x @ c.T).argmax(axis=1), minlength=k)
+        separates = copies.sum() <= COPIES * len(x) and (own * copies.sum(axis=0)).sum() <= LEFT * len(x) ** 2
+        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "centroids": [[list(map(float, v)) for v in c]], "separates": [bool(separates)]})
 
-    made = cut(sample.groupBy("shard").applyInPandas(centroids, "shard string, centroids array<array<double>>"))
-    if made.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        made = F.broadcast(made)
+    return cut(sample.groupBy("shard").applyInPandas(centroids, "shard string, centroids array<array<double>>, separates boolean"))
+
+
+def divided(groups: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """``node, times, vector, own, shard`` of nodes in groups that are too large, each in all parts of its group that it can have links in."""
 
     def assign(batches):
         for part in batches:
             out = []
             for shard, rows in part.groupby("shard"):
                 c = np.array([np.asarray(v) for v in rows["centroids"].iloc[0]])
-                sim = unit(rows["vector"].tolist()) @ c.T
-                first = sim.argmax(axis=1)
-                best = sim[np.arange(len(sim)), first]
-                sim[np.arange(len(sim)), first] = -3
-                second = sim.argmax(axis=1)
-                also = sim[np.arange(len(sim)), second] >= best - OVERLAP
-                columns = ["node", "times", "vector", "own"]
-                piece = rows[columns].copy()
-                piece["shard"] = [f"{shard}.{i}" for i in first]
-                out.append(piece)
-                piece = rows.loc[also, columns].copy()
-                piece["own"] = False
-                piece["shard"] = [f"{shard}.{i}" for i in second[also]]
+                x = unit(rows["vector"].tolist())
+                first = (x @ c.T).argmax(axis=1)
+                copies = reached(x, c, least)
+                copies[np.arange(len(x)), first] = True
+                at, to = np.nonzero(copies)
+                piece = rows[["node", "times", "vector", "own"]].iloc[at].copy()
+                piece["own"] = piece["own"].to_numpy() & (to == first[at])
+                piece["shard"] = [f"{shard}.{i}" for i in to]
                 out.append(piece)
             if out:
                 yield pd.concat(out)[["node", "times", "vector", "own", "shard"]]
@@ -227,22 +265,45 @@ def divided(groups: DataFrame, level: int) -> DataFrame:
     return joined.mapInPandas(assign, "node long, times long, vector array<float>, own boolean, shard string")
 
 
-def shards(nodes: DataFrame) -> DataFrame:
-    """``node, times, vector, shard, own``: overlapping shards of ``nodes`` (``node, times, vector, shard``: first by label).
+def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``node, times, vector, shard, own``: overlapping shards of ``nodes`` (``node, times, vector, shard``: first by label), and
+    groups that no centroids separate, or not in ``LEVELS`` levels.
 
     ``own`` marks the one shard of a node that its nearest centroids lead to: it is searched from there.
     """
-    final, open_ = None, nodes.withColumn("own", F.lit(True))
+    open_ = nodes.withColumn("own", F.lit(True))
+    final = dense = open_.limit(0)
     for level in range(LEVELS):
         sizes = open_.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
         sized = cut(open_.join(sizes, "shard"))
-        small = sized.where(F.col("n") <= 2 * SHARD).drop("n")
-        final = small if final is None else final.unionByName(small)
+        final = final.unionByName(sized.where(F.col("n") <= 2 * SHARD).drop("n"))
         large = sized.where(F.col("n") > 2 * SHARD)
         if large.isEmpty():
-            return final
-        open_ = cut(divided(large, level))
-    return final.unionByName(open_)
+            return final, dense
+        made = centres(large, level, least)
+        if made.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+            made = F.broadcast(made)
+        dense = dense.unionByName(large.join(made.where(~F.col("separates")).select("shard"), "shard").drop("n"))
+        open_ = cut(divided(large, made.where("separates"), least))
+    return final, dense.unionByName(open_)
+
+
+def compared(members: DataFrame, least: float) -> DataFrame:
+    """``node, own, root, others``, partly, of groups in which every pair of salted blocks is compared."""
+    sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    salted = members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node").reset_index(drop=True)
+        ids, first = part["node"].to_numpy(), (part["block"] == part["low"]).to_numpy()
+        alone = part["low"].iloc[0] == part["high"].iloc[0]
+        cols = None if alone else np.flatnonzero(~first)
+        others, root = exact_links(unit(part["vector"].tolist()), part["times"].to_numpy(), np.flatnonzero(first), cols, least)
+        return pd.DataFrame({"node": ids, "own": part["own"], "root": ids[root], "others": others})
+
+    return spread.groupBy("shard", "low", "high").applyInPandas(compare, "node long, own boolean, root long, others long")
 
 
 def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -254,7 +315,8 @@ def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     )
     good = rows.where("good").select("vec_id", F.col("embedding").alias("vector"), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("shard"))
     nodes = cut(good.groupBy("shard", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("times")))
-    members = cut(shards(nodes.select("node", "times", "vector", "shard")))
+    members, dense = shards(nodes.select("node", "times", "vector", "shard"), least)
+    members, exact = cut(members), cut(compared(dense, least))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         ids = part["node"].to_numpy()
@@ -297,11 +359,13 @@ def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     # a node of several shards has the union of its links; each carries how many rows the other node stands for
     found = walked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("linked", "times")))).alias("x"))
     counts = found.select("node", F.aggregate("x", F.lit(0).cast("long"), lambda s, y: s + y["times"]).alias("others"))
-    parts = components(walked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    described = nodes.join(counts, "node", "left").join(parts, "node", "left").select(
+    whole = exact.where("own").groupBy("node").agg(F.sum("others").alias("whole"))
+    links = walked.select("node", "root").unionByName(exact.select("node", "root"))
+    parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    described = nodes.join(counts, "node", "left").join(whole, "node", "left").join(parts, "node", "left").select(
         "shard",
         "vector",
-        (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+        (F.coalesce("whole", "others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"),
     )
     plain = rows.where("good").select("vec_id", F.col("embedding").alias("vector"), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("shard"))

@@ -94,6 +94,34 @@ def test_embeddings(spark, monkeypatch, shard):
     assert ann.near_duplicates(df.limit(0)).count() == 0
 
 
+def clump(n, seed, least, dims=64):
+    """Different vectors in one label with all cosines of at least ``least``, and some far from them."""
+    rng = np.random.default_rng(seed)
+    off = rng.normal(size=(n, dims - 1))
+    off *= np.sqrt((1 - least) / (1 + least)) / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([np.ones((n, 1)), off], axis=1)
+    far = np.concatenate([np.zeros((50, 1)), rng.normal(size=(50, dims - 1))], axis=1)
+    return [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, far]))]
+
+
+def test_clump_larger_than_a_shard(spark):
+    n = 10_000
+    df = spark.createDataFrame(clump(n, 4, 0.981), "vec_id long, embedding array<float>, label int").repartition(4)
+    found = ann.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert (found["n_links"][found["vec_id"] < n] == n - 1).all()
+    assert (found["component_id"][found["vec_id"] < n] == 0).all()
+    assert (found["n_links"][found["vec_id"] >= n] == 0).all()
+
+
+def test_shard_of_the_nearest_centroid_holds_all_links():
+    rng = np.random.default_rng(6)
+    x = ann.unit([b + 0.05 * rng.normal(size=6) for b in ann.unit(list(rng.normal(size=(300, 6)))) for _ in range(4)])
+    c = ann.fit_centroids(x, 20)
+    copies, own = ann.reached(x, c, 0.98), (x @ c.T).argmax(axis=1)
+    u, v = np.nonzero(x @ x.T >= 0.98)
+    assert copies[v, own[u]].all() and copies.mean() < 1
+
+
 def test_robust_pruning_keeps_rows_reachable():
     x = ann.unit(list(np.random.default_rng(1).normal(size=(400, 8))))
     lists = ann.pruned(x)
