@@ -8,7 +8,8 @@ comparisons left) is compared exactly, by pairs of salted blocks, in time that g
 kept one is ``ALPHA`` times nearer to it than the node is), with edges both ways; the lists of all shards are united.
 Then every node is searched from the medoid of the shard of its nearest centroid, which also holds what its cone reaches from other cells: greedy search with a beam, then range expansion from what was found
 in range until nothing new is in range. Every shard audits its recall on a sample of its nodes against brute force, and
-searches again with a wider beam while it misses too much. All cosines are in double precision, so links are verified by
+searches again with a wider beam while it misses too much, at last exactly. A label of several shards is audited, too: a sample of its
+nodes against all of its vectors, in blocks; one that misses too much is compared exactly. All cosines are in double precision, so links are verified by
 construction.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without label, are linked with
@@ -165,7 +166,7 @@ def search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, bea
 
 
 def audited(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, least: float) -> np.ndarray:
-    """``search`` of the queries, with a beam wide enough for the recall asked on a sample of them against brute force."""
+    """``search`` of the queries, with a beam wide enough for the recall asked on a sample of them against brute force; exact if none is."""
     n, beam = len(x), min(BEAM, max(1, len(x)))
     if not len(queries):
         return np.empty((2, 0), np.int64)
@@ -175,9 +176,17 @@ def audited(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, le
     while True:
         pairs = search(x, neighbours, queries, beam, least)
         mine = np.isin(pairs[0], sample)
-        if beam >= min(WIDEST, n) or mine.sum() >= LEAST_RECALL * truth.sum():
+        if mine.sum() >= LEAST_RECALL * truth.sum():
             return pairs
+        if beam >= min(WIDEST, n):
+            break
         beam = min(2 * beam, WIDEST, n)
+    found = []
+    for at in range(0, len(queries), 512):
+        u, v = np.nonzero(x[queries[at : at + 512]] @ x.T >= least)
+        found.append(np.stack([queries[at + u], v]))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[:, pairs[0] != pairs[1]]
 
 
 def local_components(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -289,7 +298,7 @@ def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 
 def compared(members: DataFrame, least: float) -> DataFrame:
-    """``node, own, root, others``, partly, of groups in which every pair of salted blocks is compared."""
+    """``shard, node, own, root, others``, partly, of groups in which every pair of salted blocks is compared."""
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     salted = members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -301,9 +310,40 @@ def compared(members: DataFrame, least: float) -> DataFrame:
         alone = part["low"].iloc[0] == part["high"].iloc[0]
         cols = None if alone else np.flatnonzero(~first)
         others, root = exact_links(unit(part["vector"].tolist()), part["times"].to_numpy(), np.flatnonzero(first), cols, least)
-        return pd.DataFrame({"node": ids, "own": part["own"], "root": ids[root], "others": others})
+        return pd.DataFrame({"shard": part["shard"], "node": ids, "own": part["own"], "root": ids[root], "others": others})
+
+    return spread.groupBy("shard", "low", "high").applyInPandas(compare, "shard string, node long, own boolean, root long, others long")
+
+
+def group() -> F.Column:
+    """The group (label and dimension) that a shard is a part of."""
+    return F.regexp_extract("shard", r"(?s)^(.*:-?\d+)(?:\.\d+)*$", 1)
+
+
+def missed(nodes: DataFrame, members: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """``shard`` of the groups (of ``nodes``) whose shards' search misses too much, by a sample against all vectors of the group."""
+    order = Window.partitionBy("group").orderBy(F.xxhash64("node", F.lit(LEVELS)), "node")
+    own = members.where("own").withColumn("group", group()).where(F.col("shard") != F.col("group"))
+    sample = own.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= AUDITED)
+    sample = cut(sample.select(F.col("group").alias("shard"), "node", "times", "vector"))
+    sizes = nodes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).join(sample.select("shard").distinct(), "shard")
+    every = nodes.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    asked = sample.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    columns = ["shard", "block", "node", "times", "vector"]
+    both = every.select(*columns, F.lit(False).alias("asked")).unionByName(asked.select(*columns, F.lit(True).alias("asked")))
+
+    def truth(part: pd.DataFrame) -> pd.DataFrame:
+        q, rest = part[part["asked"]], part[~part["asked"]]
+        if not len(rest):
+            return pd.DataFrame({"shard": q["shard"], "node": q["node"], "true": np.zeros(len(q), np.int64)})
+        near = unit(q["vector"].tolist()) @ unit(rest["vector"].tolist()).T >= least
+        near &= q["node"].to_numpy()[:, None] != rest["node"].to_numpy()
+        return pd.DataFrame({"shard": q["shard"], "node": q["node"], "true": near @ rest["times"].to_numpy()})
 
-    return spread.groupBy("shard", "low", "high").applyInPandas(compare, "node long, own boolean, root long, others long")
+    true = both.groupBy("shard", "block").applyInPandas(truth, "shard string, node long, true long")
+    true = true.groupBy("shard", "node").agg(F.sum("true").alias("true")).join(counts, "node", "left")
+    recall = true.groupBy("shard").agg(F.sum(F.least("true", F.coalesce("others", F.lit(0)))).alias("found"), F.sum("true").alias("true"))
+    return cut(recall.where(F.col("found") < LEAST_RECALL * F.col("true")).select("shard"))
 
 
 def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -359,6 +399,11 @@ def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     # a node of several shards has the union of its links; each carries how many rows the other node stands for
     found = walked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("linked", "times")))).alias("x"))
     counts = found.select("node", F.aggregate("x", F.lit(0).cast("long"), lambda s, y: s + y["times"]).alias("others"))
+    again = missed(nodes.select("shard", "node", "times", "vector"), members, counts, least)
+    if not again.isEmpty():
+        redone = nodes.select("shard", "node", "times", "vector").join(again, "shard").withColumn("own", F.lit(True))
+        kept = exact.withColumn("group", group()).join(again.withColumnRenamed("shard", "group"), "group", "left_anti").drop("group")
+        exact = cut(kept.unionByName(compared(redone, least)))
     whole = exact.where("own").groupBy("node").agg(F.sum("others").alias("whole"))
     links = walked.select("node", "root").unionByName(exact.select("node", "root"))
     parts = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))

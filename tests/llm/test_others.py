@@ -122,6 +122,39 @@ def test_shard_of_the_nearest_centroid_holds_all_links():
     assert copies[v, own[u]].all() and copies.mean() < 1
 
 
+def clumps(n, each, dims=64):
+    """``n`` clumps about orthogonal axes, one label: more than a shard in all, and centroids separate them."""
+    rows = [(v, k) for k in range(n) for _, v, _ in clump(each, k, 0.981, dims)[:each]]
+    return [(i, np.roll(v, k).tolist(), 0) for i, (v, k) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("torn", [False, True])
+def test_links_of_several_shards(spark, monkeypatch, torn):
+    rows = clumps(10, 330)
+    sharded, whole = [], ann.divided
+
+    def tear(*args):
+        out = whole(*args)
+        sharded.append(out)
+        return out.withColumn("shard", F.concat_ws(".", "shard", (F.col("node") % 2).cast("string"))) if torn else out
+
+    monkeypatch.setattr(ann, "divided", tear)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ann.near_duplicates(df).collect()}
+    assert sharded[0].select("shard").distinct().count() > 1
+    want = brute(rows)
+    if torn:  # the audit of the label sees what its shards can't
+        assert found == want
+    assert sum(min(found[i][0], n) for i, (n, _) in want.items()) >= 0.97 * sum(n for n, _ in want.values())
+    assert {i: c for i, (_, c) in found.items()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_search_that_misses_is_exact_at_last():
+    x = ann.unit([v for _, v, _ in clump(300, 2, 0.981)])
+    pairs = ann.audited(x, [np.empty(0, np.int64)] * len(x), np.arange(len(x)), 0.98)
+    assert pairs.shape[1] == 300 * 299
+
+
 def test_robust_pruning_keeps_rows_reachable():
     x = ann.unit(list(np.random.default_rng(1).normal(size=(400, 8))))
     lists = ann.pruned(x)
