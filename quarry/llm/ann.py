@@ -7,7 +7,7 @@ too large for a shard are divided again. A group that centroids do not separate
 comparisons left) is compared exactly, by pairs of salted blocks, in time that grows with the square of its size. Each shard gives its nodes' adjacency lists: near nodes, robustly pruned (one is dropped if another
 kept one is ``ALPHA`` times nearer to it than the node is), with edges both ways; the lists of all shards are united.
 Then every node is searched from the medoid of the shard of its nearest centroid, which also holds what its cone reaches from other cells: greedy search with a beam, then range expansion from what was found
-in range until nothing new is in range. Every shard audits its recall on a sample of its nodes against brute force, and
+in range until nothing new is in range. Edges to other shards are not followed: what is in range of a node is in its shard. Every shard audits its recall on a sample of its nodes against brute force, and
 searches again with a wider beam while it misses too much, at last exactly. A label of several shards is audited, too: a sample of its
 nodes against all of its vectors, in blocks; one that misses too much is compared exactly. All cosines are in double precision, so links are verified by
 construction.
