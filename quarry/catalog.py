@@ -161,7 +161,7 @@ def frequent_itemsets_fpgrowth(spark, sf_dir):
 @query("frequent_itemsets_two_pass", ALL_ITEMSETS)
 def frequent_itemsets_two_pass(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    return _named(itemsets.two_pass(baskets, support_of(baskets), 4))
+    return _named(itemsets.two_pass(baskets, support_of(baskets), 4, 3))
 
 
 @query("son_candidates")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, count
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -18,8 +18,8 @@ def singles(baskets: DataFrame, support: int) -> DataFrame:
     return counted.select(F.array("item").alias("items"), "n")
 
 
-def apriori(baskets: DataFrame, support: int, most: int) -> DataFrame:
-    """``items, n`` of itemsets with at least ``support`` baskets, up to ``most`` items, level by level.
+def apriori(baskets: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """``items, n`` of itemsets with at least ``support`` baskets, up to ``most`` items or else to the last frequent level, level by level.
 
     Each level keeps, for every basket, the frequent sets it holds, and joins them with the basket's later frequent items;
     candidates with an infrequent subset are left out before counting.
@@ -30,7 +30,7 @@ def apriori(baskets: DataFrame, support: int, most: int) -> DataFrame:
     frequent = level.select(F.col("items")[0].alias("item"))
     rows = cut(baskets.join(frequent, "item"))
     held = rows.select("basket", F.array("item").alias("items"))
-    for k in range(2, most + 1):
+    for k in count(2) if most is None else range(2, most + 1):
         grown = held.join(rows, "basket").where(F.element_at("items", -1) < F.col("item"))
         grown = grown.select("basket", F.concat("items", F.array("item")).alias("items"))
         if k > 2:
@@ -68,8 +68,9 @@ def pair_buckets(baskets: DataFrame, code: Column, buckets: int) -> DataFrame:
     return pairs.groupBy(((F.col("code") + F.col("other")) % buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def partition_candidates(baskets: DataFrame, support: int, partitions: int, most: int = 3) -> DataFrame:
-    """First pass of the two-pass scheme: sets frequent in some partition at its share of the support; a superset of all frequent sets.
+def partition_candidates(baskets: DataFrame, support: int, partitions: int, most: int | None = None) -> DataFrame:
+    """First pass of the two-pass scheme: sets frequent in some partition at its share of the support; a superset of all frequent sets,
+    up to ``most`` items or else to the last level that has any.
 
     Counts are kept for a partition's candidates only, so memory follows them, not the baskets.
     """
@@ -79,18 +80,26 @@ def partition_candidates(baskets: DataFrame, support: int, partitions: int, most
     def run(batches):
         held = [set(b) for part in batches for b in part["items"]]
         share = max(1, min(local, math.ceil(support * len(held) / max(1, total))))
-        level = None
-        for k in range(1, most + 1):
+        allowed: set[tuple] = {()}
+
+        def grown(items, k, start=0, prefix=()):
+            """Sets of ``k`` items that begin with sets allowed at every size."""
+            for i in range(start, len(items)):
+                c = (*prefix, items[i])
+                if len(c) == k:
+                    yield c
+                elif c in allowed:
+                    yield from grown(items, k, i + 1, c)
+
+        for k in count(1) if most is None else range(1, most + 1):
             counts: dict[tuple, int] = {}
-            allowed = set(level or ())
             for basket in held:
-                items = sorted(basket) if k == 1 else sorted(x for x in basket if (x,) in singles_)
-                for c in combinations(items, k):
+                items = sorted(basket) if k == 1 else sorted(x for x in basket if (x,) in allowed)
+                for c in grown(items, k):
                     if k < 3 or all(s in allowed for s in combinations(c, k - 1)):
                         counts[c] = counts.get(c, 0) + 1
             level = [c for c, n in counts.items() if n >= share]
-            if k == 1:
-                singles_ = set(level)
+            allowed.update(level)
             if not level:
                 return
             yield pd.DataFrame({"items": [list(c) for c in level]})
@@ -99,7 +108,7 @@ def partition_candidates(baskets: DataFrame, support: int, partitions: int, most
     return grouped.repartition(partitions).mapInPandas(run, "items array<string>").distinct()
 
 
-def two_pass(baskets: DataFrame, support: int, partitions: int, most: int = 3) -> DataFrame:
+def two_pass(baskets: DataFrame, support: int, partitions: int, most: int | None = None) -> DataFrame:
     """Second pass: exact counts of the candidates, by containment."""
     candidates = cut(partition_candidates(baskets, support, partitions, most))
     long = candidates.select("items", F.explode("items").alias("item"))

@@ -1,5 +1,7 @@
 """Small fixtures worked out by hand, and laws that results must keep."""
 
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def test_itemsets(baskets, how):
     assert rows(found.select(F.array_join("items", ","), "n")) == EXPECTED
 
 
+@pytest.mark.parametrize("how", [lambda b: itemsets.apriori(b, 2), lambda b: itemsets.fpgrowth(b, 2), lambda b: itemsets.two_pass(b, 2, 2)])
+def test_itemsets_to_the_last_level(spark, how):
+    data = [("1", "abcde"), ("2", "abcde"), ("3", "abf"), ("4", "f"), ("5", "ag")]
+    held = [set(items) for _, items in data]
+    found = how(spark.createDataFrame([(b, i) for b, items in data for i in items], "basket string, item string"))
+    every = [c for k in range(1, 6) for c in combinations("abcdefg", k)]
+    want = {",".join(c): n for c in every if (n := sum(set(c) <= h for h in held)) >= 2}
+    assert dict(rows(found.select(F.array_join("items", ","), "n"))) == want and "a,b,c,d,e" in want
+
+
+def test_candidates_to_the_last_level(spark):
+    b = spark.createDataFrame([(b, i) for b in "12" for i in "abcde"], "basket string, item string")
+    assert itemsets.partition_candidates(b, 2, 2).count() == 31
+
+
 def test_pair_of_two_singletons(spark):
     b = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")], "basket string, item string")
     assert rows(itemsets.two_pass(b, 2, 2).select(F.array_join("items", ","), "n")) == [("a", 2), ("a,b", 2), ("b", 2)]
