@@ -454,7 +454,7 @@ def modularity(spark, sf_dir):
 
 @query("girvan_newman")
 def girvan_newman(spark, sf_dir):
-    return gn_plan.girvan_newman(edges_of(spark, sf_dir, 38), patience=3)
+    return gn_plan.girvan_newman(edges_of(spark, sf_dir, 38))
 
 
 # --- clusters ---------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalog
 from quarry.functions import hashing, text, vectors
 from quarry.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from quarry.plans import bfr, girvan_newman
@@ -79,6 +80,14 @@ def test_bridge(spark):
     assert rows(graph.components(e))[0] == (1, 1)
 
 
+def test_girvan_newman_query_waits_as_long_as_its_plan(monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "edges_of", lambda *args: None)
+    monkeypatch.setattr(girvan_newman, "girvan_newman", lambda edges, patience=15: seen.append(patience))
+    catalog.QUERIES["girvan_newman"](None, "")
+    assert seen == [15]
+
+
 def test_label_propagation_and_report(spark):
     e = edges(spark, [(1, 2), (1, 3), (2, 3), (7, 8), (7, 9), (8, 9)])
     found = graph.label_propagation(e)
