@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.unionfind import components
+from quarry.llm.unionfind import components, local_components
 from quarry.session import cut
 
 LEAST_COSINE = 0.98
@@ -189,20 +189,6 @@ def audited(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, le
     return pairs[:, pairs[0] != pairs[1]]
 
 
-def local_components(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Smallest row reachable, by pointer jumping on minima."""
-    root = np.arange(n)
-    while pairs.shape[1]:
-        low = root.copy()
-        np.minimum.at(low, pairs[0], root[pairs[1]])
-        np.minimum.at(low, pairs[1], root[pairs[0]])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return root
-
-
 def exact_links(x: np.ndarray, times: np.ndarray, rows: np.ndarray, cols: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Times of all that each row is linked with, and the smallest row reachable, by all pairs of ``rows`` with ``cols`` or, without these, with each other."""
     n = len(x)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def local_components(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Smallest row reachable, by pointer jumping on minima."""
+    root = np.arange(n)
+    while pairs.shape[1]:
+        low = root.copy()
+        np.minimum.at(low, pairs[0], root[pairs[1]])
+        np.minimum.at(low, pairs[1], root[pairs[0]])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return root
