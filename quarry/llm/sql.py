@@ -67,9 +67,9 @@ def _urls() -> str:
         f"WHEN (host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '{start}') THEN '{verdict} {on}{start}'"
         for verdict, on, start in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     )
-    return rf"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-  TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS doc_id FROM pages),
- marked AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1), trials AS (SELECT host, CASE WHEN quality IN (0, 1) THEN 1 - quality END AS bad FROM p LEFT JOIN marked USING (doc_id)),
+    return rf"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ q AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '{urls.NUMBER}', 1), '') AS BIGINT) AS doc_id FROM p),
+ marked AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1), trials AS (SELECT host, CASE WHEN quality IN (0, 1) THEN 1 - quality END AS bad FROM q LEFT JOIN marked USING (doc_id)),
  h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, coalesce(sum(bad), 0) AS bad, CASE WHEN regexp_extract(host, '((?:[^.]*\.)?(?:{second})\.[a-z]{{2}})$', 1) <> '' THEN regexp_extract(host, '((?:[^.]*\.)?(?:{second})\.[a-z]{{2}})$', 1)
   ELSE regexp_extract(host, '((?:[^.]*\.)?[^.]*)$', 1) END AS domain, CASE WHEN regexp_extract(host, '(?:^|\.)((?:{second})\.[a-z]{{2}})$', 1) <> '' THEN regexp_extract(host, '(?:^|\.)((?:{second})\.[a-z]{{2}})$', 1)
   ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM trials GROUP BY 1),

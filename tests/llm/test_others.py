@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, urls
+from quarry.llm.unionfind import local_components
 
 from .conftest import SCHEMA, VOCABULARY, corpus, sentence
 
@@ -74,7 +75,7 @@ def brute(rows):
             x = ann.unit([good[i] for i in ids])
             near = x @ x.T >= 0.98
             np.fill_diagonal(near, False)
-            root = ann.local_components(len(ids), np.array(np.nonzero(near)))
+            root = local_components(len(ids), np.array(np.nonzero(near)))
             out |= {i: (int(near[k].sum()), ids[root[k]]) for k, i in enumerate(ids)}
     return out
 
@@ -94,6 +95,54 @@ def test_embeddings(spark, monkeypatch, shard):
     assert ann.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("url", "doc"),
+    [
+        ("http://10.0.0.1/x", None),
+        ("http://h.org/2024-05-report", None),
+        ("http://h.org/a7/x?y=/8/#/9/", None),
+        ("http://h.org/en/12/13", 12),
+        ("http://h.org/en/14.html?x", 14),
+        ("http://h.org/99999999999999999999", None),
+        (None, None),
+    ],
+)
+def test_page_names_a_document(spark, url, doc):
+    pages = spark.createDataFrame([(1, url)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0) for i in (10, 2024, 7, 8, 9, 12, 13, 14)], "doc_id long, quality int")
+    assert [r["bad"] for r in urls.page_trials(pages, labels).collect()] == [1 if doc else None]
+
+
+def test_labels_block_and_allow(spark):
+    """A host of bad pages is blocked, its good neighbour is not; labels alone of a bad domain block a host without any."""
+    sites = [("bad.farm.org", 60, 1), ("worse.farm.org", 60, 1), ("good.town.org", 60, 0), ("mixed.town.org", 40, 0.1), ("fine.com", 400, 0)]
+    rows, bad, n = [], [], 0
+    for site, count, share in sites:
+        for k in range(count):
+            rows.append((n, f"http://{site}/p/{n}"))
+            bad.append((n, int(k >= share * count)))  # quality
+            n += 1
+    rows += [(n, "http://new.farm.org/x"), (n + 1, "http://new.town.org/x"), (n + 2, "http://one.com/x"), (n + 3, None), (n + 4, "http://bad.farm.net/es/1")]
+    pages = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
+    labels = spark.createDataFrame(bad, "doc_id long, quality int")
+    found = {r["host"]: r["verdict"] for r in urls.judge(pages, urls.page_trials(pages, labels)).collect()}
+    assert found == {
+        "bad.farm.org": "block",
+        "worse.farm.org": "block",
+        "new.farm.org": "block",
+        "good.town.org": "allow",
+        "mixed.town.org": "allow",
+        "new.town.org": "allow",
+        "one.com": "allow",
+        "": "allow",
+        "fine.com": "allow",
+        "bad.farm.net": "block",
+    }
+    few = labels.where("doc_id < 2")  # two bad pages are not enough
+    assert {r["verdict"] for r in urls.judge(pages, urls.page_trials(pages, few)).where("host = 'bad.farm.org'").collect()} == {"allow"}
+    assert urls.judge(pages.limit(0), urls.page_trials(pages.limit(0), labels)).count() == 0
+
+
 def clump(n, seed, least, dims=64):
     """Different vectors in one label with all cosines of at least ``least``, and some far from them."""
     rng = np.random.default_rng(seed)
