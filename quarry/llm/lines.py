@@ -1,20 +1,21 @@
 """Fuzzy line deduplication: minhash of character shingles, banding, exact Jaccard, distributed union-find.
 
-A line is what stands between line feeds; lines without a word are left alone. Lines are compared in lower case, with
-runs of white space as one space. Equal lines are one node (a 64-bit print; two of n distinct lines are taken for
-equal by chance in n*n / 2**65 corpora). A node's set holds the hashes of its ``WIDTH``-character shingles, all of them,
-or the whole line if it is shorter. One hash of each shingle, sorted into ``BINS`` bins of which each keeps its least
-value, gives the signature (empty bins borrow from the next one); ``BANDS`` bands of ``ROWS`` bins are the keys. Every
-member of a key meets the key's first member; links are confirmed on full sets; then members of a key that are still in
-different components are compared by signature in blocks, and confirmed too. Of every component the line with the smallest
+A line is what stands between line feeds; lines without a word (``[^\\x20\\x09-\\x0D]+``) are left alone. Lines are compared in
+lower case, with runs of white space as one space. Equal lines are one node, by a 128-bit print. A node's set holds its
+``WIDTH``-character shingles, all of them, or the whole line if it is shorter. One hash of each shingle, sorted into ``BINS`` bins
+of which each keeps its least value, gives the signature (empty bins borrow from the next one); ``BANDS`` bands of ``ROWS`` bins
+are the keys. All lines of a key are compared by the Jaccard similarity of their whole sets, which is counted on hashes and, near the
+threshold, once more on the shingles themselves. What is linked is united; of every component the line with the smallest
 (document id, place) stays, all others go.
 
-No hot line is ever gathered: occurrences are reduced to their smallest place by partial minima, and documents are
-joined with the places that stay.
+No hot line is ever gathered: occurrences are reduced to their smallest place by partial minima, and documents are joined with the
+places that stay. Keys with the same members are compared once. Keys with more than ``BLOCK`` members or ``BLOCK_CHARACTERS`` are cut
+in salted blocks, and each pair of blocks is compared by its own task.
 
 Defined results: null and empty texts stay as they are; documents with a null id take no part and stay; a document whose
-lines all go is left with an empty text; of documents that share an id a line stays if it stays for any of them; an empty
-table gives no rows; other columns, whatever their names, pass through.
+lines all go is left with an empty text; of documents that share an id a line stays if it stays for any of them; ties (equal or
+linked lines) go to the smallest document id, then the first place; long texts and long lines are taken whole; an empty
+table gives no rows; other columns, whatever their names, pass through and never enter Python.
 """
 
 from __future__ import annotations
@@ -28,34 +29,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.minhash import _sieve, _sieve_places
-from quarry.llm.shingles import mix
-from quarry.llm.unionfind import components
+from quarry.llm.batches import fresh, in_batches, tidy
+from quarry.llm.minhash import sieve_of, sieve_places
+from quarry.llm.shingles import mix, sorted_distinct
+from quarry.llm.unionfind import components, local_components
 from quarry.session import cut
 
 WIDTH = 8
-BINS, ROWS = 40, 4
+BINS, ROWS = 48, 4
 BANDS = BINS // ROWS
 PERCENT = 80
-#: Signature bins that two lines of the wanted similarity may differ in, six deviations above the mean.
-REACH = 24
+#: Characters whose shingles are hashed together: few enough for a processor's cache.
+PORTION = 1 << 14
+#: Lines and characters of a block; a task compares two of them at most.
+BLOCK, BLOCK_CHARACTERS = 1024, 1 << 20
+#: Lines of groups of up to so many members are compared pair by pair, of larger ones by a product of incidence matrices.
+FEW = 12
+HASH = 44
+SPACE = " \t\n\x0b\f\r"
 _random = np.random.default_rng(20240307)
 PLACE = _random.integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+def normal_lines(text: str) -> list[bytes]:
+    """The normalised lines of a text; those without a word are empty."""
+    return [b" ".join(x.split()) for x in text.lower().encode().split(b"\n")]
 
 
-def line_print(line: str) -> int:
-    """Signed 64-bit print of a normalised line."""
-    return int.from_bytes(xxhash.xxh3_64_digest(line.encode()), "big", signed=True)
+def line_print(line: bytes) -> bytes:
+    """128-bit print of a normalised line."""
+    return xxhash.xxh3_128_digest(line)
 
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def portions(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows in runs of about ``most`` of ``size``, one row at least."""
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
+def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of non-empty lines, and the row of each."""
-    codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    joined = b"\n".join(lines)
+    if joined.isascii():
+        codes = np.frombuffer(joined, np.uint8).astype(np.uint64)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+    else:
+        text = joined.decode()
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, text.split("\n")), np.int64, len(lines))
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     h = np.concatenate([codes, np.zeros(WIDTH, np.uint64)])
     for k, multiplier in zip((1, 2, 4), PLACE, strict=True):  # of one, two, four and then eight characters
@@ -68,31 +93,29 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero(size < WIDTH)
     if len(short):  # the whole line is the shingle
         first = (np.cumsum(n) - n)[short]
-        found[first] = np.array([line_print(lines[i]) for i in short], np.int64).astype(np.uint64)
+        found[first] = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in short], np.uint64)
     return found, rows
 
 
-def signatures(lines: list[str]) -> np.ndarray:
+def signatures(lines: list[bytes]) -> np.ndarray:
     """Lines x bins of 16-bit symbols."""
-    h, rows = shingle_hashes(lines)
-    # row and bin in the upper bits, value in the lower: after sorting, the first of each bin is its least
-    slot = rows.astype(np.uint64) * np.uint64(BINS) + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32))
-    packed = np.sort(slot << np.uint64(40) | (h & np.uint64((1 << 40) - 1)))
-    slot = (packed >> np.uint64(40)).astype(np.int64)
-    first = np.flatnonzero(np.diff(slot, prepend=-1))
-    least = np.zeros(len(lines) * BINS, np.uint64)
-    full = np.zeros(len(lines) * BINS, bool)
-    least[slot[first]] = packed[first] & np.uint64((1 << 40) - 1)
-    full[slot[first]] = True
-    least, full = least.reshape(-1, BINS), full.reshape(-1, BINS)
-    # an empty bin takes the value of the next full one, told apart by how far it had to go
-    place = np.where(full, np.arange(BINS), 3 * BINS)
-    twice = np.concatenate([place, place + BINS], axis=1)
-    twice[:, BINS:][~full] = 3 * BINS
-    nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    value = np.take_along_axis(least, nearest % BINS, axis=1)
-    gone = (nearest - np.arange(BINS)).astype(np.uint64)
-    return (mix(value + gone * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+    out = np.empty((len(lines), BINS), np.uint16)
+    for part in portions(np.fromiter(map(len, lines), np.int64, len(lines)), PORTION):
+        h, rows = shingle_hashes(lines[part])
+        n, none = part.stop - part.start, np.uint64((1 << 64) - 1)
+        slot = rows * BINS + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+        least = np.full(n * BINS, none)
+        np.minimum.at(least, slot, h & np.uint64((1 << 40) - 1))
+        least = least.reshape(-1, BINS)
+        full = least != none
+        # an empty bin takes the value of the next full one, told apart by how far it had to go
+        place = np.where(full, np.arange(BINS), 3 * BINS)
+        twice = np.concatenate([place, np.where(full, place + BINS, 3 * BINS)], axis=1)
+        nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        value = np.take_along_axis(least, nearest % BINS, axis=1)
+        gone = (nearest - np.arange(BINS)).astype(np.uint64)
+        out[part] = mix(value + gone * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return out
 
 
 def band_keys(symbols: np.ndarray) -> np.ndarray:
@@ -106,247 +129,296 @@ def band_keys(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return in_batches(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
+
+
+def _halves(prints: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """``node, doc_id, line`` of every line with a word, once for each batch and document id."""
+    """``hi, lo, doc_id, line`` of every line with a word; ``hi, lo``: its print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, doc, line = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, x in enumerate(text.split("\n")):
-                    x = normal(x)
+            prints: list[bytes] = []
+            line: list[int] = []
+            n = []
+            for text in batch.column(1).to_pylist():
+                before = len(line)
+                for i, x in enumerate(normal_lines(text)):
                     if x:
-                        node.append(line_print(x))
-                        doc.append(d)
+                        prints.append(line_print(x))
                         line.append(i)
-            columns = [pa.array(node, pa.int64()), pa.array(doc, pa.int64()), pa.array(line, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "doc_id", "line"])
-
-    return _texts(docs).mapInArrow(run, "node long, doc_id long, line int")
+                n.append(len(line) - before)
+            doc = np.repeat(batch.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([*_halves(prints), pa.array(doc), pa.array(line, pa.int32())], ["hi", "lo", "doc_id", "line"])
 
+    found = _texts(docs).mapInArrow(tidy(run), "hi long, lo long, doc_id long, line int")
+    return found.where(F.col("hi").isNotNull() & F.col("lo").isNotNull())  # as joins ask for: so all users share one exchange
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
 
-
-def _distinct_lines(batch: pa.RecordBatch, seen: set[int], most: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
-    """Normalised lines of a batch with their prints, in portions; what the task has lately given isn't given again."""
-    nodes: list[int] = []
-    lines: list[str] = []
+def _distinct_lines(batch: pa.RecordBatch, seen: set[bytes], most: int = 1 << 16) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """Prints and normalised lines of a batch, in portions; what the task has lately given isn't given again."""
+    prints: list[bytes] = []
+    lines: list[bytes] = []
     held = 0
     for text in batch.column(1).to_pylist():
-        for x in text.split("\n"):
-            x = normal(x)
+        for x in normal_lines(text):
             if x:
                 p = line_print(x)
                 if p not in seen:
                     if len(seen) >= most:
                         seen.clear()
                     seen.add(p)
-                    nodes.append(p)
+                    prints.append(p)
                     lines.append(x)
                     held += len(x)
-        if held > 1 << 20 or len(lines) > 1 << 18:
-            yield nodes, lines
-            nodes, lines, held = [], [], 0
-    if nodes:
-        yield nodes, lines
+        if held > 1 << 20:
+            yield prints, lines
+            prints, lines, held = [], [], 0
+    if prints:
+        yield prints, lines
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """``key, node`` of every distinct line and band."""
+    """``key, hi`` of every distinct line and band; ``hi``: the first half of its print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            for nodes, lines in _distinct_lines(batch, seen):
+            for prints, lines in _distinct_lines(batch, seen):
                 keys = band_keys(signatures(lines))
-                node = np.repeat(np.array(nodes, np.int64), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
+                hi = np.repeat(np.frombuffer(b"".join(prints), np.int64)[::2], BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(hi)], ["key", "hi"])
 
-    return _texts(docs).mapInArrow(run, "key long, node long")
+    return _texts(docs).mapInArrow(tidy(run), "key long, hi long")
 
 
-def contents(docs: DataFrame, nodes: DataFrame, with_signature: bool = False) -> DataFrame:
-    """``node, content, signature`` of those nodes, once each."""
-    sieve = _sieve(nodes)
+def contents(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``hi, lo, content`` of the lines with those ``hi``, once each."""
+    sieve = sieve_of(prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for found, lines in _distinct_lines(batch, seen):
-                node = np.array(found, np.int64)
-                at = _sieve_places(node)
+                at = sieve_places(np.frombuffer(b"".join(found), np.int64)[::2])
                 want = np.flatnonzero(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                kept = [lines[i] for i in want]
-                if not kept:
-                    continue
-                signs = [s.tobytes() for s in signatures(kept)] if with_signature else [None] * len(kept)
-                columns = [pa.array(node[want]), pa.array(kept, pa.string()), pa.array(signs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "content", "signature"])
-
-    found = _texts(docs).mapInArrow(run, "node long, content string, signature binary")
-    return found.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(
-        F.first("content").alias("content"), F.first("signature").alias("signature")
-    )
-
-
-def shingle_set(line: str) -> set[str]:
-    return {line[i : i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1))}
-
-
-def confirmed(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``a, b`` within ``REACH`` whose full shingle sets have 100 * intersection >= percent * union."""
-    of_a = lines.select(F.col("node").alias("a"), F.col("content").alias("x"), F.col("signature").alias("sx"))
-    of_b = lines.select(F.col("node").alias("b"), F.col("content").alias("y"), F.col("signature").alias("sy"))
-    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y", "sx", "sy")
+                if len(want):
+                    columns = [*_halves([found[i] for i in want]), pa.array([lines[i] for i in want], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["hi", "lo", "content"])
+
+    found = _texts(docs).mapInArrow(tidy(run), "hi long, lo long, content binary")
+    return found.join(prints, "hi", "left_semi").groupBy("hi", "lo").agg(F.first("content").alias("content"))
+
+
+def shingle_set(line: bytes) -> set[str]:
+    text = line.decode()
+    return {text[i : i + WIDTH] for i in range(max(1, len(text) - WIDTH + 1))}
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    s, t = shingle_set(x), shingle_set(y)
+    shared = len(s & t)
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
+class Sets:
+    """The shingle sets of lines as ``HASH``-bit hashes, sorted, one after the other."""
+
+    def __init__(self, lines: list[bytes]) -> None:
+        parts = []
+        for part in portions(np.fromiter(map(len, lines), np.int64, len(lines)), 4 * PORTION):
+            h, rows = shingle_hashes(lines[part])
+            parts.append(sorted_distinct((rows + part.start).astype(np.uint64) << np.uint64(HASH) | h >> np.uint64(64 - HASH)))
+        packed = np.concatenate(parts)
+        self.hashes = packed & np.uint64((1 << HASH) - 1)
+        self.size = np.bincount((packed >> np.uint64(HASH)).astype(np.int64), minlength=len(lines))
+        self.start = np.cumsum(self.size) - self.size
+
+    def at(self, rows: np.ndarray) -> np.ndarray:
+        """Where the hashes of these rows are, one row after the other."""
+        n = self.size[rows]
+        return np.arange(n.sum()) + np.repeat(self.start[rows] - (np.cumsum(n) - n), n)
+
+    def shared(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """How many hashes the sets of each pair of rows have in common."""
+        out = np.zeros(len(r), np.int64)
+        for part in portions(self.size[r] + self.size[c], 1 << 18):
+            rows = np.concatenate([r[part], c[part]])
+            pair = np.tile(np.arange(part.stop - part.start, dtype=np.uint64), 2)
+            both = np.sort(np.repeat(pair, self.size[rows]) << np.uint64(HASH) | self.hashes[self.at(rows)])
+            same = both[1:][both[1:] == both[:-1]] >> np.uint64(HASH)
+            out[part] = np.bincount(same.astype(np.int64), minlength=part.stop - part.start)
+        return out
+
+    def all_shared(self, rows: np.ndarray, columns: int = 4096) -> np.ndarray:
+        """Rows x rows: how many hashes they have in common, from the incidence of those that two rows have or more."""
+        at = self.at(rows)
+        line = np.repeat(np.arange(len(rows)), self.size[rows])
+        order = np.argsort(self.hashes[at], kind="stable")
+        h, line = self.hashes[at][order], line[order]
+        code = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
+        twice = np.bincount(code)[code] > 1
+        code, line = code[twice], line[twice]
+        code = np.cumsum(np.diff(code, prepend=code[:1]) != 0)
+        out = np.zeros((len(rows), len(rows)), np.float32)
+        for first in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+            lo, hi = np.searchsorted(code, [first, first + columns])
+            a = np.zeros((len(rows), min(columns, int(code[-1]) + 1 - first)), np.float32)
+            a[line[lo:hi], code[lo:hi] - first] = 1
+            out += a @ a.T
+        return out
+
+
+def group_links(groups: np.ndarray, line: np.ndarray, lines: list[bytes], percent: int) -> np.ndarray:
+    """Pairs of ``lines`` that stand in one group and are similar, enough to give the components of all such pairs; ``groups`` is ascending, ``line`` the index of each row's line."""
+    sets = Sets(lines)
+    edges = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
+    count = np.diff(np.append(edges, len(groups)))
+    r, c, shared = [], [], []
+
+    def add(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        near = 100 * n >= percent * (sets.size[x] + sets.size[y] - n) - 200  # a few hashes may be equal by chance
+        r.append(x[near])
+        c.append(y[near])
+        shared.append(n[near])
+
+    few = count <= FEW
+    if few.any():
+        start, n = np.repeat(edges[few], count[few]), np.repeat(count[few], count[few])
+        own = np.arange(len(start)) - np.repeat(np.cumsum(count[few]) - count[few], count[few])  # place in the group
+        later = n - 1 - own
+        x = np.repeat(start + own, later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        pairs = sorted_distinct(np.minimum(line[x], line[y]) * len(lines) + np.maximum(line[x], line[y]))
+        x, y = pairs // len(lines), pairs % len(lines)
+        able = 100 * np.minimum(sets.size[x], sets.size[y]) >= percent * np.maximum(sets.size[x], sets.size[y]) - 200
+        x, y = x[able], y[able]
+        add(x, y, sets.shared(x, y))
+    for at, n in zip(edges[~few], count[~few], strict=True):
+        rows = line[at : at + n]
+        both = sets.all_shared(rows)
+        x, y = np.nonzero(np.triu(100 * both >= percent * (sets.size[rows][:, None] + sets.size[rows] - both) - 200, 1))
+        add(rows[x], rows[y], both[x, y].astype(np.int64))
+    if not r:
+        return np.empty((2, 0), np.int64)
+    x, y, n = np.concatenate(r), np.concatenate(c), np.concatenate(shared)
+    over = 100 * n - percent * (sets.size[x] + sets.size[y] - n)
+    sure = np.stack([x, y])[:, over > 200]
+    root = local_components(len(lines), sure)
+    open_ = np.flatnonzero((over <= 200) & (root[x] != root[y]))  # what is united already needs no closer look
+    good = [i for i in open_ if similar(lines[x[i]], lines[y[i]], percent)]
+    return np.concatenate([sure, np.stack([x[good], y[good]])], axis=1)
+
+
+def compared(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that unite the similar lines of each group, of ``g, part, nid, content``, whose groups are each together."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        g, part = table.column("g").to_numpy(), table.column("part").to_numpy()
+        group = np.cumsum((np.diff(g, prepend=g[:1]) != 0) | (np.diff(part, prepend=part[:1]) != 0))
+        nid, first, line = np.unique(table.column("nid").to_numpy(), return_index=True, return_inverse=True)
+        lines = table.column("content").take(pa.array(first)).to_pylist()
+        root = local_components(len(nid), group_links(group, line, lines, percent))
+        moved = np.flatnonzero(root != np.arange(len(nid)))
+        return pa.RecordBatch.from_arrays([pa.array(nid[moved]), pa.array(nid[root[moved]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = (_symbols(batch.column(4)) != _symbols(batch.column(5))).sum(axis=1) <= REACH
-            batch = batch.filter(pa.array(near))
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = shingle_set(x), shingle_set(y)
-                ok = 100 * min(len(s), len(t)) >= percent * max(len(s), len(t))
-                if ok:
-                    shared = len(s & t)
-                    ok = 100 * shared >= percent * (len(s) + len(t) - shared)
-                good.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
-
-
-def cross_places(key: np.ndarray, part: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of rows with equal keys and different components, in portions of about ``most`` pairs.
-
-    Rows are sorted by key and component, so the partners of a row are those from its key's start to its component's.
-    """
-    new_key = np.diff(key, prepend=key[:1] - 1) != 0
-    new_part = new_key | (np.diff(part, prepend=part[:1] - 1) != 0)
-    places = np.arange(len(key))
-    start = np.maximum.accumulate(np.where(new_key, places, 0))
-    before = np.maximum.accumulate(np.where(new_part, places, 0)) - start
-    ends = np.cumsum(before)
-    at = 0
-    while at < len(key):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        n = before[at:upto]
-        rows = np.repeat(places[at:upto], n)
-        yield rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + start[rows]
-        at = upto
-
-
-def near_places(symbols: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Which of the pairs differ in at most ``REACH`` symbols: by the lower bytes, eight at a time, then by all of the symbol."""
-    low, one = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
-    words = np.ascontiguousarray(symbols.astype(np.uint8)).view(np.uint64)
-    apart = np.zeros(len(r), np.uint8)
-    for k in range(words.shape[1]):
-        x = words[r, k] ^ words[c, k]
-        apart += np.bitwise_count((((x & low) + low) | x) & one)
-    maybe = np.flatnonzero(apart <= REACH)
-    return maybe[(symbols[r[maybe]] != symbols[c[maybe]]).sum(axis=1) <= REACH]
-
-
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """``a, b`` of different components of one key whose signatures are near, compared portion by portion.
-
-    ``members``: ``key, node, component, signature``, each key's rows together in one partition, by component.
-    """
-
-    def near(table: pa.Table) -> pa.RecordBatch:
-        node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
-        symbols, out = _symbols(table.column("signature")), [np.empty((2, 0), np.int64)]
-        for r, c in cross_places(table.column("key").to_numpy(), part):
-            ok = near_places(symbols, r, c)
-            out.append(np.stack([np.maximum(node[r[ok]], node[c[ok]]), np.minimum(node[r[ok]], node[c[ok]])]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows whose last key may go on
+        held: list[pa.RecordBatch] = []  # rows whose last group may go on
+        last = None
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # keys ascend
-            if last:
-                yield near(table.slice(0, last))
-                held = table.slice(last).to_batches()
+            g, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            upto = int(np.argmax((g == g[-1]) & (part == part[-1])))  # where the batch's last group begins
+            if upto or (held and last != (g[-1], part[-1])):
+                ready = pa.Table.from_batches([*held, batch.slice(0, upto)], batch.schema)
+                if len(ready):
+                    yield links(ready)
+                held = []
+            held.append(batch.slice(upto))
+            last = (g[-1], part[-1])
         if held:
-            yield near(pa.Table.from_batches(held))
+            yield links(pa.Table.from_batches(held))
+
+    return in_batches(members.select("g", "part", "nid", "content")).mapInArrow(tidy(run), "a long, b long")
 
-    return members.mapInArrow(run, "a long, b long")
 
+def grouped(members: DataFrame) -> DataFrame:
+    """``g, part, nid`` of what is to be compared, from ``key, nid, size``: keys with the same members are one group, large keys pairs of blocks."""
+    large = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_CHARACTERS))
+    blocks = cut(members.groupBy("key").agg(large.alias("blocks")).where(F.col("blocks") > 1))
+    light = members.join(blocks, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("nid")).alias("nids"))  # a block at most
+    light = light.select("nids").distinct().select(F.xxhash64("nids").alias("g"), F.lit(0).cast("long").alias("part"), F.explode("nids").alias("nid"))
+    heavy = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    heavy = heavy.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("block") != F.col("other"))
+    pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return light.unionByName(heavy.select(F.col("key").alias("g"), pair.alias("part"), "nid"))
 
-def links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links between nodes, enough to give the components of all confirmed links."""
-    # one exchange, used twice: for each key's first member, and to give it to the others
+
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``hi, lo, component`` of every line that is linked with another one."""
+    # one exchange, used twice: to find the keys of two lines or more, and to give these to their members
     keys = banded(docs).repartition("key")
-    stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where(F.col("b") < F.col("_last"))
+    several = keys.groupBy("key").agg(F.min("hi").alias("a"), F.max("hi").alias("b")).where(F.col("a") < F.col("b")).select("key")
     # few keys have two members: they are hashed, and the others need no sorting
-    shared = cut(keys.join(stars.select("key", "b").hint("shuffle_hash"), "key").distinct())
-    starred = cut(shared.where(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b").distinct())
-    ends = shared.select("node").distinct()
-    lines = cut(contents(docs, ends, with_signature=True))
-    first = cut(confirmed(starred, lines, percent))
-    parts = components(first)
-    known = shared.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = known.select("key", "node", "component")
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # two members, of which one is the star, have been compared
-    mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > 2)).select("key")
-    members = known.join(mixed, "key").join(lines.select("node", "signature"), "node")
-    members = members.select("key", "node", "component", "signature").repartition("key").sortWithinPartitions("key", "component")
-    crossed = cross_pairs(members).distinct().join(starred, ["a", "b"], "left_anti")
-    return first.unionByName(confirmed(cut(crossed), lines, percent))
+    shared = cut(keys.join(several.hint("shuffle_hash"), "key").distinct())
+    lines = contents(docs, shared.select("hi").distinct())
+    lines = cut(lines.withColumn("nid", F.monotonically_increasing_id()).withColumn("size", F.length("content").cast("long")))
+    # lines that share but half a print come along: all that is compared is compared by content
+    members = cut(shared.join(lines.select("hi", "nid", "size"), "hi").select("key", "nid", "size"))
+    ready = grouped(members).join(lines.select("nid", "content"), "nid").repartition("g", "part").sortWithinPartitions("g", "part")
+    parts = components(compared(ready, percent))
+    return lines.join(parts.withColumnRenamed("node", "nid"), "nid").select("hi", "lo", "component")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, lines array<int>``: places of the lines with a word that stay."""
-    first = places(docs).groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    parts = components(links(docs, percent))
-    rooted = first.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("at").alias("at"))
-    return rooted.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the lines that go taken out of ``text``; other columns stay. Adds ``_n_lines`` and ``_n_kept`` (lines with a word)."""
+    first = places(docs).groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    placed = first.join(cut(linked(docs, percent)), ["hi", "lo"], "left")
+    alone = placed.where(F.col("component").isNull()).select("at")
+    rooted = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("at").alias("at")).select("at")
+    return alone.unionByName(rooted).groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list("at.line").alias("lines"))
+
+
+def without(text: str | None, stays: np.ndarray | None) -> tuple[str | None, int, int]:
+    """The text with those of its lines with a word that stay (None: all), and how many it had and has."""
+    if text is None:
+        return None, 0, 0
+    split = text.split("\n")
+    worded = [bool(x.strip(SPACE)) for x in split]
+    n = sum(worded)
+    if stays is None:
+        return text, n, n
+    some = set(stays)
+    left = [x for i, x in enumerate(split) if not worded[i] or i in some]
+    kept = n - (len(split) - len(left))
+    return (text if kept == n else "\n".join(left)), n, kept
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())]))
+def _rebuilt(doc_id: pa.Array, text: pa.Array, lines: pa.Array) -> pa.Array:
+    texts, n, kept = [], [], []
+    for d, x, stays in zip(doc_id.is_valid().to_pylist(), text.to_pylist(), lines.to_pylist(), strict=True):
+        y, a, b = without(x, (stays or []) if d else None)
+        texts.append(y)
+        n.append(a)
+        kept.append(b)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], ["text", "n_lines", "n_kept"])
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the lines that go taken out of ``text``; other columns stay. Adds ``n_lines`` and ``n_kept`` (lines with a word;
+    with underscores appended if ``docs`` has such columns). ``drop_emptied``: without the documents that lost all their lines."""
     columns = docs.columns
-    row = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    stay = kept_lines(docs, percent).select(F.col("doc_id").alias("_id"), "lines")
-    joined = row.join(stay, "_id", "left").select("row", "lines")
-    at = columns.index("text")
-    out_schema = T.StructType([*joined.schema["row"].dataType.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_kept", T.LongType())])
-    has_id = columns.index("doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields = batch.column(0).flatten()
-            texts, n, kept = [], [], []
-            for d, text, lines in zip(fields[has_id].to_pylist(), fields[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is None or d is None:
-                    count = sum(1 for x in (text or "").split("\n") if x.split())
-                    texts.append(text)
-                    n.append(count)
-                    kept.append(count)
-                    continue
-                stays = set(lines or ())
-                split = text.split("\n")
-                worded = [bool(x.split()) for x in split]
-                left = [x for i, x in enumerate(split) if not worded[i] or i in stays]
-                n.append(sum(worded))
-                kept.append(sum(1 for i, w in enumerate(worded) if w and i in stays))
-                texts.append(text if len(left) == len(split) else "\n".join(left))
-            fields[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(n, pa.int64()), pa.array(kept, pa.int64())], out_schema.names)
-
-    return joined.mapInArrow(run, out_schema)
+    row = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    stay = kept_lines(docs, percent).select(F.col("doc_id").alias("id"), "lines")
+    done = in_batches(row.join(stay, "id", "left")).select("row", _rebuilt("id", "row.text", "lines").alias("new"))
+    if drop_emptied:
+        done = done.where((F.col("new.n_kept") > 0) | (F.col("new.n_lines") == 0))
+    rest = [F.col("new.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return done.select(*rest, F.col("new.n_lines").alias(fresh("n_lines", columns)), F.col("new.n_kept").alias(fresh("n_kept", columns)))

@@ -13,7 +13,7 @@ Documents with equal sets are one node; a hot text costs a partial minimum. No t
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; null ids likewise, with a
 null component, and they are kept; rows that share an id count as one document; an empty table gives no rows; columns other
-than id and text are not read.
+than id and text, whatever their names, are not read; long texts are shingled whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import shingles as S
+from quarry.llm.batches import in_batches, tidy
 from quarry.llm.unionfind import components
 from quarry.session import cut
 
@@ -35,7 +36,7 @@ CHUNK = 4
 CHUNKS = S.SYMBOLS // CHUNK
 MISSED = 100_000
 #: Members of a key that are compared with each other in one piece; more are split first.
-BLOCK = 2048
+BLOCK = 1024
 #: Bits of the bitmap that spares most texts the way through an exchange, as a power of two.
 SIEVE = 22
 
@@ -62,7 +63,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, signature binary")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run, S.forget), "doc_id long, n_shingles long, print binary, signature binary")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -93,7 +94,7 @@ def index(nodes: DataFrame, chunks: list[int]) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], ["key", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return in_batches(nodes.select("node", "signature")).mapInArrow(tidy(run), "key long, node long")
 
 
 def split_further(members: DataFrame, level: int, bad: int) -> DataFrame:
@@ -118,7 +119,7 @@ def split_further(members: DataFrame, level: int, bad: int) -> DataFrame:
                 columns = [pa.array(both.ravel()), pa.array(more), *rest.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return members.mapInArrow(run, members.schema)
+    return in_batches(members).mapInArrow(tidy(run), members.schema)
 
 
 def cross_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
@@ -176,7 +177,7 @@ def cross_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return members.mapInArrow(run, "a long, b long")
+    return in_batches(members).mapInArrow(tidy(run), "a long, b long")
 
 
 def within_reach(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -190,21 +191,21 @@ def within_reach(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) ->
             near = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1) <= most
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return in_batches(both.select("a", "b", "sa", "sb")).mapInArrow(tidy(run), "a long, b long")
 
 
-def _sieve_places(node: np.ndarray) -> np.ndarray:
+def sieve_places(node: np.ndarray) -> np.ndarray:
     return (S.mix(node.astype(np.uint64)) >> np.uint64(64 - SIEVE)).astype(np.int64)
 
 
-def _sieve(nodes: DataFrame) -> np.ndarray:
+def sieve_of(nodes: DataFrame) -> np.ndarray:
     """A bitmap of ``2 ** SIEVE`` bits that is set for every node and, by chance, for some others: of fixed size, so it may go
     everywhere; what it lets through in error, the join behind it drops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << SIEVE, bool)
         for batch in batches:
-            bits[_sieve_places(batch.column(0).to_numpy())] = True
+            bits[sieve_places(batch.column(0).to_numpy())] = True
         words = np.packbits(bits, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "bits"])
@@ -218,17 +219,17 @@ def _sieve(nodes: DataFrame) -> np.ndarray:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of ``a, b`` with 100 * intersection >= percent * union of their full sets; ``texts``: ``node, text``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sieve = _sieve(ends)
+    sieve = sieve_of(ends)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).fill_null(0).to_numpy()
-            at = _sieve_places(node)
+            at = sieve_places(node)
             batch = batch.filter(pa.array(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             found = [s.tobytes() for s in S.sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
-    full = texts.mapInArrow(make, "node long, set binary").join(ends, "node", "left_semi")
+    full = in_batches(texts).mapInArrow(tidy(make, S.forget), "node long, set binary").join(ends, "node", "left_semi")
     of_a = full.select(F.col("node").alias("a"), F.col("set").alias("x"))
     of_b = full.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y")
@@ -242,7 +243,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_batches(both).mapInArrow(tidy(run), "a long, b long")
 
 
 def labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:

@@ -29,9 +29,7 @@ def op3_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
-        "doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept")
-    )
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

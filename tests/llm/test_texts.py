@@ -90,7 +90,7 @@ def test_patterns_use_every_piece(seed):
     rng = random.Random(seed)
     capacity = rng.choice([10, 50, 100])
     counts = {rng.randint(1, capacity): rng.randint(1, 9) for _ in range(rng.randint(1, 10))}
-    found, used = packing.bin_completion(counts, capacity), collections.Counter()
+    found, used = packing.bin_completion(counts, capacity).patterns, collections.Counter()
     for filling, bins in found:
         assert bins > 0 and sum(n * c for n, c in filling) <= capacity
         for n, c in filling:
@@ -100,9 +100,79 @@ def test_patterns_use_every_piece(seed):
     assert packing.lower_bound(counts, capacity) <= bins <= sum(p.bins for p in packing.best_fit(counts, capacity))
 
 
+def fewest_bins(pieces, capacity):
+    """By trying every way: pieces longest first, each in every bin with room (equal rooms once), or in a new one."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[i]:
+                left = list(rooms)
+                left.remove(room)
+                go(i + 1, [*left, room - pieces[i]])
+        go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_search_finds_the_fewest_bins(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 20, 31])
+    pieces = [rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(5, 12))]
+    found = packing.bin_completion(dict(collections.Counter(pieces)), capacity)
+    assert found.proved and found.bins == sum(p.bins for p in found.patterns) == fewest_bins(pieces, capacity)
+    assert found.bound <= found.bins
+
+
 def test_search_beats_best_fit():
     counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}  # 40 in 4 bins of 10, exactly
-    assert sum(p.bins for p in packing.bin_completion(counts, 10)) == 4
+    assert packing.bin_completion(counts, 10).bins == 4
+    counts = {10: 30, 4: 30, 3: 60}  # 30 bins of 10, 4, 3 and 3; best fit takes 31
+    found = packing.bin_completion(counts, 20)
+    assert found.bins == 30 and found.proved and sum(p.bins for p in packing.best_fit(counts, 20)) == 31
+
+
+def test_completions_are_the_undominated_fillings():
+    """Against all maximal fillings, compared two by two: each one tried is dominated by none, and what is left out is dominated by one tried."""
+    rng = random.Random(7)
+    for _ in range(60):
+        left = {rng.randint(1, 12): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
+        room = rng.randint(3, 20)
+        every = [()]
+        for n, c in left.items():
+            every = [(*f, *([n] * k)) for f in every for k in range(c + 1)]
+        every = {tuple(sorted(f, reverse=True)) for f in every if sum(f) <= room}
+
+        def covers(big, small):
+            """Whether ``small`` can be packed in bins of the sizes in ``big``."""
+            return not small or any(x >= small[0] and covers((*big[:i], x - small[0], *big[i + 1 :]), small[1:]) for i, x in enumerate(big))
+
+        found = {tuple(n for n, c in f for _ in range(c)) for f in packing.completions(dict(left), room, room, [10**6])}
+        assert found <= every
+        for f in every:
+            if f not in found:
+                assert any(covers(g, f) for g in found), (left, room, f, found)
+        assert not any(f != g and covers(g, f) and sum(g) >= sum(f) and g > f for f in found for g in found)
+
+
+def test_pack_keeps_columns(spark, monkeypatch):
+    """Hot lengths of null ids are ranked in cells; columns named as the operator's own are kept."""
+    monkeypatch.setattr(packing, "CELL", 10)
+    df = spark.createDataFrame([(None, 5, i, 0, 1) for i in range(100)] + [(1, 7, 0, 0, 1)], "doc_id long, length long, _rank int, `offset` int, `id` int")
+    found = packing.pack(df, 20).toPandas()
+    assert list(found.columns) == [*df.columns, "sequence_id", "offset_"]
+    assert sorted(found["_rank"]) == sorted([*range(100), 0]) and found["sequence_id"].nunique() == 26
+    for _, part in found.sort_values("offset_").groupby("sequence_id"):
+        assert (part["offset_"].to_numpy() == part["length"].cumsum().shift(fill_value=0).to_numpy()).all() and part["length"].sum() <= 20
 
 
 @pytest.mark.parametrize("cell", [200_000, 3])
@@ -213,8 +283,7 @@ def test_lines(docs, none):
     rows = corpus()
     first = {}
     for row in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        for k, x in enumerate(row[1].split("\n")):
-            x = lines.normal(x)
+        for k, x in enumerate(lines.normal_lines(row[1])):
             if x:
                 first.setdefault(x, (row[0], k))
     every = list(first)
@@ -229,27 +298,58 @@ def test_lines(docs, none):
     for row in rows:
         text = row[1]
         if row[0] is not None and text is not None:
-            text = "\n".join(x for k, x in enumerate(text.split("\n")) if not x.split() or (row[0], k) in stay)
+            text = "\n".join(x for k, x in enumerate(text.split("\n")) if not x.strip(lines.SPACE) or (row[0], k) in stay)
         want[(row[0], text)] += 1
     found = lines.dedup_lines(docs)
     assert collections.Counter((r["doc_id"], r["text"]) for r in found.collect()) == want
-    assert found.columns == [*docs.columns, "_n_lines", "_n_kept"]
+    assert found.columns == [*docs.columns, "n_lines", "n_kept"]
     assert lines.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [7, 1 << 19])
-def test_cross_places(most):
-    rng = np.random.default_rng(0)
-    key, part = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200)
-    order = np.lexsort((part, key))
-    key, part = key[order], part[order]
-    found = [(int(a), int(b)) for r, c in lines.cross_places(key, part, most) for a, b in zip(r, c, strict=True)]
-    assert len(found) == len(set(found))
-    assert set(found) == {(i, j) for i in range(200) for j in range(i) if key[i] == key[j] and part[i] != part[j]}
-    symbols = rng.integers(0, 2, (200, lines.BINS)).astype(np.uint16) * np.uint16(256) + rng.integers(0, 2, (200, lines.BINS)).astype(np.uint16)
-    r, c = (np.array(x) for x in zip(*found, strict=True))
-    apart = (symbols[r] != symbols[c]).sum(axis=1)
-    assert set(lines.near_places(symbols, r, c).tolist()) == set(np.flatnonzero(apart <= lines.REACH).tolist())
+def brute_links(every, percent=80):
+    sets = [lines.shingle_set(x) for x in every]
+    return {(b, a) for a in range(len(every)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("few", [1, 12])
+def test_group_links(few, monkeypatch):
+    """Both ways to compare a group equal brute force on all of its pairs."""
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcde ") for _ in range(60)).strip()
+    every = sorted({b" ".join((base[: rng.randrange(5, 60)] + rng.choice("xyz\u00e9") * rng.randrange(4)).encode().split()) for _ in range(90)})
+    want = {(b, a) for b, a in brute_links(every) if a // 30 == b // 30}
+    r, c = lines.group_links(np.arange(len(every)) // 30, np.arange(len(every)), every, 80)
+    found = {(int(min(a, b)), int(max(a, b))) for a, b in zip(r, c, strict=True)}
+    assert found <= want and want and closed(len(every), found) == closed(len(every), want)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_short_lines(spark, block, monkeypatch):
+    """Lines of 9 to 40 characters, with one character less or another end, give the components of brute force, in blocks or not."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(11)
+    every = set()
+    for _ in range(300):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(9, 41)))
+        every |= {x, x[:-1], x + "s", x[: len(x) - 2] + "qq"}
+    every |= {f"a line that many share {i:02d}" for i in range(40)}
+    every = sorted(every)
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    root = closed(len(every), brute_links([x.encode() for x in every]))
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    assert found == {i: x if root[i] == i else "" for i, x in enumerate(every)}
+
+
+def test_lines_names(spark):
+    """Columns named as the operator's own pass through; without lines left, documents can be dropped; null ids stay."""
+    schema = "doc_id long, text string, _n_kept int, n_lines int, n_kept int, `id` string, `row` string, lines string, new string, hi int, component int"
+    rows = [(1, "one line", 1, 2, 3, "a", "b", "c", "d", 4, 5), (2, "one  LINE", 6, 7, 8, "e", "f", "g", "h", 9, 10), (None, "one line", None, None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    found = lines.dedup_lines(df)
+    assert found.columns == [*df.columns, "n_lines_", "n_kept_"]
+    assert {tuple(r) for r in found.collect()} == {(*rows[0], 1, 1), (2, "", *rows[1][2:], 1, 0), (*rows[2], 1, 1)}
+    assert {r["doc_id"] for r in lines.dedup_lines(df, drop_emptied=True).collect()} == {1, None}
 
 
 def test_fuzzy_lines(spark):
@@ -348,6 +448,43 @@ def test_shards(docs, none):
     assert shards.shard(none).count() == 0
 
 
+def test_placement_by_dot_product():
+    """Against a plain re-statement: largest first, each to the highest dot product with what is left."""
+    rng = np.random.default_rng(3)
+    need = rng.random((200, 3)) * np.array([0.3, 0.2, 0.1])
+    left, want = [[1.0] * 3 for _ in range(7)], {}
+    for i in sorted(range(200), key=lambda i: (-max(need[i]), i)):
+        dots = [sum(a * b for a, b in zip(r, need[i], strict=True)) for r in left]
+        want[i] = dots.index(max(dots))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], need[i], strict=True)]
+    found, residual = shards.place(need, 7)
+    assert found.tolist() == [want[i] for i in range(200)] and np.allclose(residual, left)
+
+
+@pytest.mark.parametrize("chunk", [8, 1024])
+def test_small_groups_are_placed_whole(spark, chunk, monkeypatch):
+    """With a coarse bound for large groups most are placed by the tasks: shards stay balanced, groups whole, slots gapless; a hot group
+    of null ids is split."""
+    monkeypatch.setattr(shards, "CHUNK", chunk)
+    monkeypatch.setattr(shards, "CELL", 50)
+    monkeypatch.setattr(shards, "PARTS", 4)
+    rng = random.Random(2)
+    rows = [(i % 5000, f"text {i % 9000} " + "word " * ((i % 9000) % 40)) for i in range(10_000)] + [(None, "hot text of many")] * 4000
+    rng.shuffle(rows)
+    found = shards.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(found) == len(rows)
+    for _, part in found.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    for column, most in (("size", 0.04), ("tokens", 0.04)):
+        by = found.groupby("shard")[column].sum()
+        assert len(by) == 40 and by.max() - by.min() < most * by.mean()
+    n = found.groupby("shard").size()
+    assert n.max() - n.min() < 0.04 * n.mean() + 4
+    hot = zlib.crc32(b"hot text of many")
+    assert found[found["text_crc32"] != hot].groupby("text_crc32")["shard"].nunique().max() == 1
+    assert found[found["text_crc32"] == hot]["shard"].nunique() > 5
+
+
 def test_hot_group_is_split(spark):
     rows = [(i, "same text") for i in range(4000)] + [(i + 4000, f"text number {i} " * (i % 7 + 1)) for i in range(8000)]
     found = shards.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
