@@ -2,8 +2,8 @@
 
 A text is cut in pieces of ``PIECE`` bytes, all of which are compressed, each on its own: so a long text cannot
 become its own dictionary, and the whole of it counts. Dictionaries are made of a bounded, documented sample of
-labelled rows (``ROWS`` rows a class of at most ``LONGEST`` characters, chosen by a hash of the id; ``SIZE`` bytes a
-class, of which a text gives at most ``SHARE``); nothing else is bounded.
+labelled rows: at most ``rows`` of a class, in the order of a hash of the id, and no further row once their texts have ``size``
+bytes. A row that is taken is taken whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -11,51 +11,57 @@ from __future__ import annotations
 import functools
 
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = 512
 LEVEL = 3
-ROWS = 600
-LONGEST = 20_000
-SIZE = 1 << 17
-SHARE = 1024
+#: Labelled rows of a class that are sampled at most, and bytes of their texts that are enough.
+ROWS = 1000
+SIZE = 1 << 20
 #: Goes before every piece: a run that any compressor shortens, so that no short piece is merely stored.
 LEAD = b" " * 64
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int = ROWS) -> list[tuple]:
-    """``(key, text, label)`` of at most ``rows`` rows for each label, in the order of a hash of the key.
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int = ROWS, size: int = SIZE) -> list[tuple]:
+    """``(key, text, label)`` of the first rows of each label, in the order of a hash of the key: whole texts, at most ``rows``, until
+    they have ``size`` bytes together.
 
     ``labels`` holds key and label only, so the choice is made on narrow rows (each partition keeps no more than
-    ``rows`` of a label before the exchange); texts are read for the chosen keys alone.
+    ``rows`` of a label before the exchange); texts are read for the chosen keys alone. Texts that are null or empty are passed over.
     """
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
     chosen = chosen.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= rows)
-    picked = chosen.select(key, label, "_at").collect()  # bounded: rows x labels
-    keys = [r[0] for r in picked]
-    texts = docs.where(F.col(key).isin(keys) & (F.length("text") <= LONGEST)).select(key, "text").collect() if keys else []
-    by_key: dict = {}
-    for k, t in texts:
-        by_key[k] = max(by_key.get(k, ""), t)  # repeated ids: the greatest text
-    ordered = sorted(picked, key=lambda r: (str(r[1]), r[2]))
-    return [(r[0], by_key[r[0]], r[1]) for r in ordered if by_key.get(r[0])]
-
-
-def dictionary(texts: list[str], size: int = SIZE, share: int = SHARE) -> bytes:
-    """A raw-content dictionary of distinct texts, in their order."""
+    picked = sorted(chosen.select(key, label, "_at").collect(), key=lambda r: (str(r[1]), r[2]))  # bounded: rows x labels
+
+    def texts(keys: list, what: Column) -> dict:
+        """The greatest value by key, as ids may be repeated."""
+        return dict(map(tuple, docs.where(F.col(key).isin(keys)).groupBy(key).agg(F.max(what)).collect())) if keys else {}
+
+    length = texts([r[0] for r in picked], F.octet_length("text"))
+    held: dict = {}
+    taken = []
+    for k, of, _ in picked:
+        if length.get(k) and held.get(of, 0) < size:
+            held[of] = held.get(of, 0) + length[k]
+            taken.append((k, of))
+    by_key = texts([k for k, _ in taken], F.col("text"))
+    return [(k, by_key[k], of) for k, of in taken if by_key[k]]
+
+
+def dictionary(texts: list[str], size: int = SIZE) -> bytes:
+    """A raw-content dictionary of distinct whole texts, in their order, until it has ``size`` bytes."""
     parts, held = [], 0
     for text in dict.fromkeys(texts):
-        part = text.encode()[:share]
-        parts.append(part)
-        held += len(part) + 1
         if held >= size:
             break
-    return b"\n".join(parts)[:size]
+        parts.append(text.encode())
+        held += len(parts[-1]) + 1
+    return b"\n".join(parts)
 
 
-@functools.lru_cache(maxsize=64)
+@functools.lru_cache(maxsize=12)
 def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     if len(content) < 8:  # no dictionary to speak of
         return zstandard.ZstdCompressor(level=level)

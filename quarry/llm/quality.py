@@ -3,9 +3,10 @@
 Feature: bytes that the whole text takes with the bad dictionary less those with the good one, for each byte of
 text. A logistic curve, fitted on labelled rows that gave nothing to the dictionaries, makes a probability of it.
 
-Defined results: null and empty texts have feature 0 and the score of that; if labels of one class are missing, every
-score is the share of good labels (0.5 without any label). Labels that are neither 0 nor 1 are not used. Rows keep
-their multiplicity; ids, languages and sources are never inputs.
+Defined results: null and empty texts have feature 0 and the score of that; if labels of one class are missing, or
+texts for them, every score is the share of good labels, at least 0.01 and at most 0.99 (0.5 without any label). Labels that are
+neither 0 nor 1 are not used. Long texts count whole, piece by piece. Rows keep their multiplicity, ties have equal scores; an empty
+table gives no rows; ids, languages, sources and columns with other names are never inputs.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import in_batches, tidy
 from quarry.llm.compression import compressor, dictionary, labelled_sample, sizes
 from quarry.llm.langid import fold
 
 #: From this score on a document counts as good.
 THRESHOLD = 0.3
-#: Bytes of a dictionary, and labelled rows of each class that are sampled: half for it, half to calibrate.
-SIZE = 1 << 18
-ROWS = 1600
+#: Bytes of a dictionary; labelled rows of each class that are sampled at most and bytes of them that are enough, half for it and half to
+#: calibrate.
+SIZE = 1 << 21
+ROWS, SAMPLED = 4000, 2 * SIZE
 
 
 class Model(NamedTuple):
@@ -63,14 +66,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """``labels``: ``doc_id, quality`` of the rows to learn from."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
     counts = {r[0]: r[1] for r in labels.groupBy("quality").count().collect()}
+    share = min(max(counts.get(1, 0) / sum(counts.values()), 0.01), 0.99) if counts else 0.5
+    constant = Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
     if len(counts) < 2:
-        share = 0.5 if not counts else min(max(float(next(iter(counts))), 0.01), 0.99)
-        return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    sample = labelled_sample(docs, labels, "doc_id", "quality", rows)
+        return constant
+    sample = labelled_sample(docs, labels, "doc_id", "quality", rows, SAMPLED)
     texts: dict[int, list[str]] = {0: [], 1: []}
     for _, text, quality in sample:
         texts[quality].append(text)
     texts = {q: list(dict.fromkeys(ts)) for q, ts in texts.items()}
+    if not all(texts.values()):  # labels, but no texts of a class
+        return constant
     made = {q: dictionary(ts[::2], SIZE) for q, ts in texts.items()}
     compressors = [compressor(made[1]), compressor(made[0])]
     rest = [(feature(t, compressors), q, counts[q] / max(1, len(ts[1::2]))) for q, ts in texts.items() for t in ts[1::2]]
@@ -92,7 +98,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             columns = [batch.column(0), pa.array(p), pa.array((p >= threshold).astype("i4"))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
