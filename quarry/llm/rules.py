@@ -8,7 +8,8 @@ divergence, nor are those whose language is null or has no words.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined results: a null or empty text has no words, all counts 0, fails the base
 rule and isn't kept; ties among common words go to the first by name; repeated rows are judged each; an empty table
-gives no rows.
+gives no rows; long texts are measured whole; ``kept`` passes other columns through, whatever their names. Three-word windows are
+compared by a 64-bit hash within a text: of a text with n windows, one is taken for another by chance in n*n / 2**65 texts.
 """
 
 from __future__ import annotations
@@ -169,16 +170,17 @@ def verdicts(rows: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Every row with ``_m`` (base counts), ``_word_distance``, ``_class_distance``, ``_base_failed`` and ``_kept``; whole rows
-    pass through, so the classes are counted once for the references and once with the rows."""
+    """Every row of ``text, lang`` and any columns without a leading underscore, with ``_m`` (base counts), ``_word_distance``,
+    ``_class_distance``, ``_base_failed`` and ``_kept``; whole rows pass through, so the classes are counted once for the references and once with the rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     shares = class_shares(docs.select("lang", classes(text).alias("_classes")))
     return verdicts(measured(docs), shares).drop("_classes", "_length")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows that pass, whole."""
-    return judge(docs).where(F.col("_kept") & (F.col("_barrier") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that pass, whole; they travel as one struct, so no column's name can clash."""
+    rows = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judge(rows).where(F.col("_kept") & (F.col("_barrier") >= 0)).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def assess(docs: DataFrame) -> DataFrame:
