@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as X
 from quarry.operators import cluster, graph, itemsets, profiles, recommend, relational, similarity, sketch
 from quarry.plans import bfr as bfr_plan
 from quarry.plans import girvan_newman as gn_plan
-from quarry.session import cut, table
+from quarry.session import cut, shared_folder, table
 from quarry.sources import sinks, views
 from quarry.streaming import windows
 
@@ -77,6 +77,19 @@ def top_words(spark, sf_dir):
     return relational.top_words(views.tokens(spark, sf_dir).select("word"), F.broadcast(stop), 20)
 
 
+def _words_b_sql() -> str:
+    pattern = X.PUNCTUATION_AND_DIGITS.replace("'", "''")
+    return f"""WITH words AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '{pattern}'), lambda t: t <> '')) AS word FROM documents)
+ SELECT word, count(*) AS n_words FROM words WHERE word NOT IN ({', '.join(repr(w) for w in STOP)}) GROUP BY word ORDER BY n_words DESC, word LIMIT 50"""
+
+
+@query("top_words_of_profiles", _words_b_sql())
+def top_words_of_profiles(spark, sf_dir):
+    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
+    words = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"), X.PUNCTUATION_AND_DIGITS)).alias("word"))
+    return relational.top_words(words, F.broadcast(stop), 50)
+
+
 def _category(spark, sf_dir, merge):
     scores = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_quantity").alias("score"))
     categories = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.split("p_type", " ").alias("categories"))
@@ -123,12 +136,12 @@ def totals_document(spark, sf_dir):
 
 # --- itemsets ---------------------------------------------------------------------------------------------------
 
-ITEMSETS = f"""WITH {BASKETS}, s AS (SELECT ceil({SUPPORT} * count(DISTINCT basket)) AS support FROM baskets),
- one AS (SELECT item AS items, count(*) AS n FROM baskets GROUP BY 1),
- two AS (SELECT a.item || ',' || b.item AS items, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item GROUP BY 1),
- three AS (SELECT a.item || ',' || b.item || ',' || c.item AS items, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item
-  JOIN baskets c ON b.basket = c.basket AND b.item < c.item GROUP BY 1)"""
-ALL_ITEMSETS = ITEMSETS + """ SELECT items, CAST(n AS BIGINT) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three), s WHERE n >= support"""
+#: Every subset of every basket: baskets are small.
+ITEMSETS = f"""WITH RECURSIVE {BASKETS}, s AS (SELECT ceil({SUPPORT} * count(DISTINCT basket)) AS support FROM baskets),
+ subsets AS (SELECT basket, item AS items, item AS last, 1 AS size FROM baskets
+  UNION ALL SELECT g.basket, g.items || ',' || b.item, b.item, size + 1 FROM subsets g JOIN baskets b ON b.basket = g.basket AND b.item > g.last)"""
+ALL_ITEMSETS = ITEMSETS + """ SELECT items, CAST(count(*) AS BIGINT) AS n FROM subsets, s GROUP BY items, support HAVING count(*) >= support"""
+PAIRS = ITEMSETS + " SELECT items, CAST(count(*) AS BIGINT) AS n FROM subsets, s WHERE size = 2 GROUP BY items, support HAVING count(*) >= support"
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -140,7 +153,7 @@ def basket_lists(spark, sf_dir):
     return itemsets.basket_items(views.baskets(spark, sf_dir)).select("basket", F.array_join("items", ",").alias("items"))
 
 
-@query("frequent_pairs", ITEMSETS + " SELECT items, CAST(n AS BIGINT) AS n FROM two, s WHERE n >= support")
+@query("frequent_pairs", PAIRS)
 def frequent_pairs(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
     return _named(itemsets.apriori(baskets, support_of(baskets), 2).where(F.size("items") == 2))
@@ -149,36 +162,44 @@ def frequent_pairs(spark, sf_dir):
 @query("frequent_itemsets_apriori", ALL_ITEMSETS)
 def frequent_itemsets_apriori(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    return _named(itemsets.apriori(baskets, support_of(baskets), 3))
+    return _named(itemsets.apriori(baskets, support_of(baskets)))
 
 
 @query("frequent_itemsets_fpgrowth", ALL_ITEMSETS)
 def frequent_itemsets_fpgrowth(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    return _named(itemsets.fpgrowth(baskets, support_of(baskets)).where(F.size("items") <= 3))
+    return _named(itemsets.fpgrowth(baskets, support_of(baskets)))
 
 
 @query("frequent_itemsets_two_pass", ALL_ITEMSETS)
 def frequent_itemsets_two_pass(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    return _named(itemsets.two_pass(baskets, support_of(baskets), 4, 3))
+    return _named(itemsets.two_pass(baskets, support_of(baskets), F.pmod("basket", F.lit(4))))
 
 
-@query("son_candidates")
+@query("son_candidates", ITEMSETS + """, sizes AS (SELECT basket % 4 AS part, count(DISTINCT basket) AS size FROM baskets GROUP BY 1),
+ shares AS (SELECT part, greatest(1, ceil(support * size / (SELECT sum(size) FROM sizes))) AS least FROM sizes, s)
+ SELECT DISTINCT items FROM (SELECT items, part, least FROM subsets JOIN shares ON part = basket % 4 GROUP BY items, part, least HAVING count(*) >= least)""")
 def son_candidates(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    found = itemsets.partition_candidates(baskets, support_of(baskets), 4)
+    found = itemsets.partition_candidates(baskets, support_of(baskets), F.pmod("basket", F.lit(4)))
     return found.select(F.array_join("items", ",").alias("items"))
 
 
+@query("pcy_frequent_pairs", PAIRS)
+def pcy_frequent_pairs(spark, sf_dir):
+    baskets = cut(views.baskets(spark, sf_dir))
+    return _named(itemsets.pcy_pairs(baskets, support_of(baskets), 6_000_000))
+
+
 @query("large_basket_itemsets")
 def large_basket_itemsets(spark, sf_dir):
     baskets = cut(itemsets.larger_baskets(cut(views.baskets(spark, sf_dir)), 4))
-    return _named(itemsets.apriori(baskets, support_of(baskets), 3))
+    return _named(itemsets.apriori(baskets, support_of(baskets)))
 
 
 SQL["large_basket_itemsets"] = ALL_ITEMSETS.replace(
-    "WITH baskets AS", "WITH every AS", 1
+    "WITH RECURSIVE baskets AS", "WITH RECURSIVE every AS", 1
 ).replace(", s AS", ", baskets AS (SELECT * FROM every WHERE basket IN (SELECT basket FROM every GROUP BY 1 HAVING count(*) > 4)), s AS", 1)
 
 
@@ -187,7 +208,7 @@ SQL["large_basket_itemsets"] = ALL_ITEMSETS.replace(
  SELECT (a.code + b.code) % 250 AS bucket, count(*) AS n FROM coded a JOIN coded b ON a.basket = b.basket AND a.code < b.code GROUP BY 1""")
 def pcy_bucket_counts(spark, sf_dir):
     baskets = cut(views.baskets(spark, sf_dir))
-    coded = baskets.join(F.broadcast(itemsets.dense_codes(baskets, "item")), "item")
+    coded = baskets.join(itemsets.dense_codes(baskets, "item"), "item")
     return itemsets.pair_buckets(coded, F.col("code"), 250)
 
 
@@ -344,7 +365,7 @@ def _user_lsh(spark, sf_dir):
     rated = views.ratings(spark, sf_dir).where((F.col("event_id") % 10 != 0) & (F.col("item") < 95))
     means = cut(rated.groupBy("user", "item").agg(F.round(F.avg("stars"), 1).alias("rating")))
     codes = cut(itemsets.dense_codes(means, "item"))
-    signature = similarity.minhash(means.join(F.broadcast(codes), "item"), "user", "code", codes.agg(F.count(F.lit(1)).alias("m")), 120, 37)
+    signature = similarity.minhash(means.join(codes, "item"), "user", "code", codes.agg(F.count(F.lit(1)).alias("m")), 120, 37)
     candidates = similarity.band_candidates(similarity.bands(signature, "user", 3, 17, 19, 183), "user")
     near = cut(similarity.jaccard(means, "user", "item", 0.01, candidates).select("a", "b"))
     found = similarity.pearson(means, "user", "item", "rating", 3, near).where(F.col("similarity") > 1e-9)
@@ -437,7 +458,16 @@ def bfs_levels(spark, sf_dir):
     return graph.shortest_paths(edges, roots).select("node", "distance")
 
 
-@query("edge_betweenness")
+#: All shortest paths, one by one: those that grow by an arc to a node one level further from their root.
+BETWEENNESS = """, walk AS (SELECT node AS root, node, 0 AS distance FROM nodes UNION SELECT w.root, a.dst, w.distance + 1 FROM walk w JOIN arcs a ON a.src = w.node WHERE w.distance < 12),
+ level AS (SELECT root, node, min(distance) AS distance FROM walk GROUP BY 1, 2),
+ path AS (SELECT node AS root, node, 0 AS distance, [node] AS nodes FROM nodes
+  UNION ALL SELECT p.root, a.dst, p.distance + 1, list_append(p.nodes, a.dst) FROM path p JOIN arcs a ON a.src = p.node JOIN level l ON l.root = p.root AND l.node = a.dst AND l.distance = p.distance + 1),
+ share AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY root, node) AS part FROM path),
+ step AS (SELECT nodes[i] AS x, nodes[i + 1] AS y, part FROM (SELECT nodes, part, unnest(range(1, len(nodes))) AS i FROM share))"""
+
+
+@query("edge_betweenness", f"WITH RECURSIVE {graph_sql(34)}{BETWEENNESS} SELECT least(x, y) AS src, greatest(x, y) AS dst, round(sum(part) / 2, 6) AS betweenness FROM step GROUP BY 1, 2")
 def edge_betweenness(spark, sf_dir):
     found = graph.edge_betweenness(edges_of(spark, sf_dir, 34))
     return found.select("src", "dst", F.round("betweenness", 6).alias("betweenness"))
@@ -493,7 +523,16 @@ def mahalanobis_assign(spark, sf_dir):
     return cluster.first_within(points.select("id", "vector"), clusters, 1.0).select("id", "cluster")
 
 
-@query("farthest_first")
+def _farthest_sql(k: int) -> str:
+    far = "list_sum(list_transform(list_zip(vector, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = ["c0 AS (SELECT id, vector AS centre FROM points ORDER BY id LIMIT 1)", f"l0 AS (SELECT p.id, vector, {far} AS least FROM points p, c0)"]
+    for i in range(1, k):
+        steps.append(f"c{i} AS (SELECT id, vector AS centre FROM l{i - 1} WHERE least > 0 ORDER BY least DESC, id LIMIT 1)")
+        steps.append(f"l{i} AS (SELECT l.id, vector, least(least, {far}) AS least FROM l{i - 1} l, c{i})")
+    return f"WITH {POINTS}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i} AS cluster, id FROM c{i}" for i in range(k))
+
+
+@query("farthest_first", _farthest_sql(8))
 def farthest_first(spark, sf_dir):
     return cluster.farthest_first(views.points(spark, sf_dir), 8).select("cluster", "id")
 
@@ -585,17 +624,10 @@ def top3_tags(spark, sf_dir):
     return sketch.top_ranks(rows, "tag", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _stream_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="quarry-stream-")
-
-
 @query("stream_windowed_distinct", f"WITH {WINDOWS} SELECT CAST(start AS VARCHAR) AS start, count(DISTINCT user_id) AS n_users FROM spans GROUP BY 1")
 def stream_windowed_distinct(spark, sf_dir):
     """Every micro-batch goes to parquet; the stream's (window, user) states are final in complete mode."""
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     state = windows.windowed(views.event_stream(spark, sf_dir), "6 hours", "2 hours")
     windows.run_available(state, lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/checkpoint", "complete")
     found = spark.read.parquet(f"{folder}/out").groupBy("start").agg(F.count(F.lit(1)).alias("n_users"))
@@ -604,13 +636,39 @@ def stream_windowed_distinct(spark, sf_dir):
 
 @query("stream_reservoir")
 def stream_reservoir(spark, sf_dir):
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     tags = views.event_stream(spark, sf_dir).select("event_id", F.col("event_type").alias("tag"))
     windows.run_available(windows.reservoir(tags), lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", "update")
     latest = spark.read.parquet(f"{folder}/out").groupBy("salt").agg(F.max_by(F.struct("seen", "sample"), "batch").alias("x"))
     return windows.merged_sample(latest.select("salt", "x.*"), 100)
 
 
+@query("stream_fm_report", _fm_sql())
+def stream_fm_report(spark, sf_dir):
+    """Per-window truth and estimate, added to a CSV report by every micro-batch; the rows of the last one."""
+    folder = shared_folder(spark, "stream")
+    each = windows.window_report(f"{folder}/report", lambda df: sketch.fm_estimate(df, ["start"], F.col("user_id")))
+    windows.run_available(windows.windowed(views.event_stream(spark, sf_dir), "6 hours", "2 hours"), each, f"{folder}/checkpoint", "complete")
+    report = views.csv_with_header(spark, f"{folder}/report", "batch int, Time string, Truth long, Estimation double")
+    last = report.agg(F.max("batch").alias("batch"))
+    return report.join(last, "batch").select(F.col("Time").alias("start"), F.col("Truth").alias("truth"), F.round("Estimation", 4).alias("estimate"))
+
+
+@query("plain_tags", "SELECT event_type AS tag, count(*) AS n FROM events WHERE regexp_full_match(event_type, '[A-Za-z0-9 ]*') GROUP BY 1")
+def plain_tags(spark, sf_dir):
+    tags = table(spark, sf_dir, "events").select(F.col("event_type").alias("tag"))
+    return tags.where(X.plain_tag(F.col("tag"))).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_top_tags")
+def stream_top_tags(spark, sf_dir):
+    """Running ranks over the reservoir's sample, reported by every micro-batch."""
+    folder = shared_folder(spark, "stream")
+    tags = views.event_stream(spark, sf_dir).select("event_id", F.col("event_type").alias("tag")).where(X.plain_tag(F.col("tag")))
+    windows.run_available(windows.reservoir(tags), windows.sample_report(folder), f"{folder}/checkpoint", "update")
+    return views.csv_with_header(spark, f"{folder}/report", "batch int, seen long, tag string, n long, rank int")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -15,7 +15,7 @@ def bytes_modulo(text: Column, modulus: int) -> Column:
 
 def trailing_zeros(value: Column) -> Column:
     """Zeros at the end of the binary form; 3 for zero, whose form holds no one."""
-    return F.when(value == 0, 3).otherwise(F.length(F.regexp_extract(F.bin(value), "0*$", 0)))
+    return F.when(value == 0, 3).otherwise(F.bit_count(value.bitwiseAND(-value) - 1))
 
 
 def shift_hash(x: Column, step: int, c: Column, modulus: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from itertools import combinations, count
+from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
-import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,36 +13,52 @@ from pyspark.sql import functions as F
 from quarry.session import cut
 
 
-def singles(baskets: DataFrame, support: int) -> DataFrame:
-    counted = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    return counted.select(F.array("item").alias("items"), "n")
-
-
-def apriori(baskets: DataFrame, support: int, most: int | None = None) -> DataFrame:
-    """``items, n`` of itemsets with at least ``support`` baskets, up to ``most`` items or else to the last frequent level, level by level.
+def _levels(rows: DataFrame, most: int | None) -> Iterator[DataFrame]:
+    """``part, items, n`` level by level, of ``part, least, basket, item``: sets in at least ``least`` baskets of their part.
 
     Each level keeps, for every basket, the frequent sets it holds, and joins them with the basket's later frequent items;
     candidates with an infrequent subset are left out before counting.
     """
-    baskets = cut(baskets.distinct())
-    level = cut(singles(baskets, support))
-    out = level
-    frequent = level.select(F.col("items")[0].alias("item"))
-    rows = cut(baskets.join(frequent, "item"))
+    enough = F.col("n") >= F.col("least")
+    level = cut(rows.groupBy("part", "least", "item").agg(F.count_distinct("basket").alias("n")).where(enough))
+    rows = cut(rows.join(level.select("part", "item"), ["part", "item"], "left_semi").distinct())
+    level = level.select("part", F.array("item").alias("items"), "n")
     held = rows.select("basket", F.array("item").alias("items"))
-    for k in count(2) if most is None else range(2, most + 1):
+    for k in count(2):
+        yield level
+        if most is not None and k > most:
+            return
         grown = held.join(rows, "basket").where(F.element_at("items", -1) < F.col("item"))
-        grown = grown.select("basket", F.concat("items", F.array("item")).alias("items"))
+        grown = grown.select("part", "least", "basket", F.concat("items", F.array("item")).alias("items"))
         if k > 2:
             for drop in range(k - 2):  # the two subsets without one of the last items are frequent already, or nearly so
                 keep = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k))
-                grown = grown.withColumn("_sub", keep).join(level.select(F.col("items").alias("_sub")), "_sub", "left_semi").drop("_sub")
-        level = cut(grown.groupBy("items").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+                grown = grown.withColumn("sub", keep).join(level.select("part", F.col("items").alias("sub")), ["part", "sub"], "left_semi").drop("sub")
+        level = cut(grown.groupBy("part", "least", "items").agg(F.count(F.lit(1)).alias("n")).where(enough)).drop("least")
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-        held = cut(grown.join(level.select("items"), "items", "left_semi"))
-    return out
+            return
+        held = cut(grown.join(level.select("part", "items"), ["part", "items"], "left_semi").select("basket", "items"))
+
+
+def apriori(baskets: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """``items, n`` of itemsets with at least ``support`` baskets, up to ``most`` items or else to the last frequent level."""
+    rows = baskets.select(F.lit(0).alias("part"), F.lit(support).cast("long").alias("least"), "basket", "item")
+    return reduce(DataFrame.unionByName, _levels(rows, most)).select("items", "n")
+
+
+def pcy_pairs(baskets: DataFrame, support: int, buckets: int) -> DataFrame:
+    """``items, n`` of frequent pairs, of which only those in a frequent bucket are counted.
+
+    First pass: frequent items, and counts of the buckets that pairs of them fall in. The frequent buckets (``buckets`` numbers at
+    most) are the bitmap that prunes candidates in the second pass; exact counts decide.
+    """
+    level = baskets.groupBy("item").agg(F.count_distinct("basket").alias("n")).where(F.col("n") >= support)
+    rows = cut(baskets.join(level.select("item"), "item", "left_semi").distinct())
+    pairs = rows.join(rows.select("basket", F.col("item").alias("other")), "basket").where(F.col("item") < F.col("other"))
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("item", "other"), F.lit(buckets)))
+    bitmap = cut(pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("bucket"))
+    counted = pairs.join(bitmap, "bucket", "left_semi").groupBy("item", "other").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= support).select(F.array("item", "other").alias("items"), "n")
 
 
 def fpgrowth(baskets: DataFrame, support: int) -> DataFrame:
@@ -68,49 +84,30 @@ def pair_buckets(baskets: DataFrame, code: Column, buckets: int) -> DataFrame:
     return pairs.groupBy(((F.col("code") + F.col("other")) % buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def partition_candidates(baskets: DataFrame, support: int, partitions: int, most: int | None = None) -> DataFrame:
-    """First pass of the two-pass scheme: sets frequent in some partition at its share of the support; a superset of all frequent sets,
-    up to ``most`` items or else to the last level that has any.
+#: Baskets of a part of the two-pass scheme, if nothing else is asked for.
+PART = 100_000
+
+
+def partition_candidates(baskets: DataFrame, support: int, part: Column | None = None, most: int | None = None) -> DataFrame:
+    """First pass of the two-pass scheme: sets frequent in some part of the baskets at its share of the support; a superset of all
+    frequent sets, up to ``most`` items or else to the last level that has any.
 
-    Counts are kept for a partition's candidates only, so memory follows them, not the baskets.
+    ``part`` says where a basket belongs (else a hash, about ``PART`` baskets each). Parts are counted side by side by joins and grouped
+    counts: no process holds one.
     """
-    grouped = baskets.groupBy("basket").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    local = math.ceil(support / partitions)
-
-    def run(batches):
-        held = [set(b) for part in batches for b in part["items"]]
-        share = max(1, min(local, math.ceil(support * len(held) / max(1, total))))
-        allowed: set[tuple] = {()}
-
-        def grown(items, k, start=0, prefix=()):
-            """Sets of ``k`` items that begin with sets allowed at every size."""
-            for i in range(start, len(items)):
-                c = (*prefix, items[i])
-                if len(c) == k:
-                    yield c
-                elif c in allowed:
-                    yield from grown(items, k, i + 1, c)
-
-        for k in count(1) if most is None else range(1, most + 1):
-            counts: dict[tuple, int] = {}
-            for basket in held:
-                items = sorted(basket) if k == 1 else sorted(x for x in basket if (x,) in allowed)
-                for c in grown(items, k):
-                    if k < 3 or all(s in allowed for s in combinations(c, k - 1)):
-                        counts[c] = counts.get(c, 0) + 1
-            level = [c for c, n in counts.items() if n >= share]
-            allowed.update(level)
-            if not level:
-                return
-            yield pd.DataFrame({"items": [list(c) for c in level]})
-
-    total = grouped.count()
-    return grouped.repartition(partitions).mapInPandas(run, "items array<string>").distinct()
-
-
-def two_pass(baskets: DataFrame, support: int, partitions: int, most: int | None = None) -> DataFrame:
+    if part is None:
+        part = F.pmod(F.xxhash64("basket"), F.lit(max(1, -(-baskets.select("basket").distinct().count() // PART))))
+    placed = cut(baskets.select(part.alias("part"), "basket", "item"))
+    sizes = placed.groupBy("part").agg(F.count_distinct("basket").alias("size"))
+    total = sizes.agg(F.sum("size").alias("total"))
+    share = F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("size") / F.col("total"))).cast("long")
+    rows = placed.join(sizes.crossJoin(total).select("part", share.alias("least")), "part")
+    return reduce(DataFrame.unionByName, _levels(rows, most)).select("items").distinct()
+
+
+def two_pass(baskets: DataFrame, support: int, part: Column | None = None, most: int | None = None) -> DataFrame:
     """Second pass: exact counts of the candidates, by containment."""
-    candidates = cut(partition_candidates(baskets, support, partitions, most))
+    candidates = cut(partition_candidates(baskets, support, part, most))
     long = candidates.select("items", F.explode("items").alias("item"))
     hits = baskets.distinct().join(long, "item").groupBy("basket", "items").agg(F.count(F.lit(1)).alias("found"))
     counted = hits.where(F.col("found") == F.size("items")).groupBy("items").agg(F.count(F.lit(1)).alias("n"))
@@ -126,5 +123,13 @@ def basket_items(baskets: DataFrame) -> DataFrame:
 
 
 def dense_codes(values: DataFrame, name: str) -> DataFrame:
-    """``name, code``: places of the distinct values in order, from 0. The window is over distinct values of a vocabulary."""
-    return values.select(name).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(name)).cast("long") - 1)
+    """``name, code``: places of the distinct values in order, from 0.
+
+    Values are sorted by ranges; each is ranked in its range, after the counts of the ranges before: no task holds all.
+    """
+    ranges = values.select(name).distinct().repartitionByRange(name).withColumn("range", F.spark_partition_id())
+    ranges = cut(ranges)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(name)).cast("long") - 1
+    return ranges.withColumn("place", place).join(starts, "range").select(name, (F.col("start") + F.col("place")).alias("code"))

@@ -47,8 +47,8 @@ def partition_profile(rows: DataFrame) -> DataFrame:
 
 
 def repartition_profile(rows: DataFrame, key: Column, n: int) -> DataFrame:
-    """``partition, n_items`` after sending each row to the partition that ``key`` modulo ``n`` names."""
-    return rows.groupBy(F.pmod(key, F.lit(n)).alias("partition")).agg(F.count(F.lit(1)).alias("n_items"))
+    """``partition, n_items`` of the partitions that hold rows, after each row was sent to the one that ``key`` modulo ``n`` names."""
+    return partition_profile(rows.repartitionById(n, F.pmod(key, F.lit(n)).cast("int")))
 
 
 def filtered_join(left: DataFrame, right: DataFrame, on: str, keep: Column) -> DataFrame:

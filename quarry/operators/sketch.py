@@ -49,13 +49,13 @@ def fm_estimate(rows: DataFrame, keys: list[str], code: Column, groups: int = 8,
 
     Estimate: median over groups of the mean over a group's hashes of 2 to the power of the most zeros seen.
     """
-    coded = rows.withColumn("_v", code)
+    coded = rows.select(*keys, code.alias("_v")).distinct()  # repeated values change neither count nor maxima
     maxima = []
     for g in range(groups):
         for h in range(per_group):
             hashed = (F.col("_v") * (2 * g + 3) + 17 * (h + 1) + 131 * g) % (modulus + 10 * g)
             maxima.append(F.max(trailing_zeros(hashed)).alias(f"m{g}_{h}"))
-    found = coded.groupBy(*keys).agg(F.count_distinct("_v").alias("truth"), *maxima)
+    found = coded.groupBy(*keys).agg(F.count("_v").alias("truth"), *maxima)
     means = F.array(*[sum((F.pow(F.lit(2.0), F.col(f"m{g}_{h}")) for h in range(1, per_group)), F.pow(F.lit(2.0), F.col(f"m{g}_0"))) / per_group for g in range(groups)])
     ordered = F.array_sort(means)
     middle = (F.element_at(ordered, groups // 2) + F.element_at(ordered, groups // 2 + 1)) / 2 if groups % 2 == 0 else F.element_at(ordered, groups // 2 + 1)

@@ -19,6 +19,22 @@ def model(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def pair_model(df: DataFrame, path: str) -> None:
+    """``a, b, similarity`` as JSON lines ``{"b1", "b2", "sim"}``."""
+    json_lines(df.select(F.col("a").alias("b1"), F.col("b").alias("b2"), F.col("similarity").alias("sim")), path)
+
+
+def model_document(parts: dict[str, DataFrame], path: str) -> None:
+    """A model of several tables: a folder of JSON lines for each, named as the parts of the document, so that none is gathered."""
+    for name, df in parts.items():
+        json_lines(df, f"{path}/{name}")
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files with headers: a report that grows by micro-batches."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -37,9 +53,15 @@ def community_report(communities: DataFrame) -> DataFrame:
     return grouped.orderBy(F.size("members"), "members").select(F.array_join(F.transform("members", lambda m: m.cast("string")), ", ").alias("line"))
 
 
+def betweenness_report(edges: DataFrame) -> DataFrame:
+    """``line``: ``('a', 'b'), value`` of each edge (``src, dst, betweenness``), highest first, then by its ends."""
+    shown = F.format_string("('%s', '%s'), %s", F.col("src").cast("string"), F.col("dst").cast("string"), F.round("betweenness", 5).cast("string"))
+    return edges.orderBy(F.desc(F.round("betweenness", 5)), "src", "dst").select(shown.alias("line"))
+
+
 def text(df: DataFrame, path: str) -> None:
-    """The single text column of ``df``, in its order."""
-    df.coalesce(1).write.mode("overwrite").text(path)
+    """The single text column of ``df``; of a sorted one the files, by their names, hold the lines in its order."""
+    df.write.mode("overwrite").text(path)
 
 
 def prediction_line(df: DataFrame, order: str, prediction: str) -> DataFrame:

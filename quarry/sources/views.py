@@ -48,6 +48,17 @@ def rounds(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
 
 
+def pair_model(spark: SparkSession, path: str) -> DataFrame:
+    """``a, b, similarity`` of JSON lines ``{"b1", "b2", "sim"}``; lines that can't be parsed or lack an end are left out."""
+    found = json_lines(spark, path, "b1 string, b2 string, sim double").where(F.col("b1").isNotNull() & F.col("b2").isNotNull())
+    return found.select(F.col("b1").alias("a"), F.col("b2").alias("b"), F.col("sim").alias("similarity"))
+
+
+def model_part(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows of one part of a model that ``sinks.model_document`` wrote."""
+    return json_lines(spark, f"{path}/{name}", schema)
+
+
 def words_of_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("word"))
 

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.operators import sketch
+from quarry.sources import sinks
+
+TIME = "yyyy-MM-dd HH:mm:ss"
+
 
 def windowed(rows: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """``start, end, user_id`` once for each window of the event time; late rows are taken for ``late``."""
@@ -33,13 +40,63 @@ def approximate_per_window(rows: DataFrame, length: str, slide: str, late: str =
     ).select(F.col("w.start").alias("start"), "n_users")
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is there now, handing each micro-batch to ``each``."""
+def run_available(
+    stream: DataFrame,
+    each: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    disconnect: Callable[[Exception], bool] | None = None,
+) -> StreamingQuery:
+    """Run a stream over what is there now, handing each micro-batch to ``each``.
+
+    A failure for which ``disconnect`` is true (a source that asks to be left alone, say) ends the stream quietly; what was written
+    before it stays, and the checkpoint lets a later run go on from there. Other failures are raised.
+    """
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if not (disconnect and disconnect(e)):
+            raise
     return query
 
 
+def refused(code: int = 420) -> Callable[[Exception], bool]:
+    """A rule for ``run_available``: the source answered with this HTTP status."""
+    return lambda e: re.search(rf"\bHTTP (status )?{code}\b", str(e)) is not None
+
+
+def window_report(path: str, estimate: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For ``run_available``: add ``batch, Time, Truth, Estimation`` of every window that a micro-batch holds to a folder of CSV files.
+
+    ``estimate`` makes ``start, truth, estimate`` of the micro-batch.
+    """
+
+    def each(df: DataFrame, batch: int) -> None:
+        found = estimate(df).select(F.lit(batch).alias("batch"), F.date_format("start", TIME).alias("Time"), F.col("truth").alias("Truth"), F.col("estimate").alias("Estimation"))
+        sinks.append_csv(found, path)
+
+    return each
+
+
+def sample_report(folder: str, size: int = 100, most: int = 3) -> Callable[[DataFrame, int], None]:
+    """For ``run_available`` on ``reservoir``: after every micro-batch, add ``batch, seen, tag, n, rank`` of the sample's commonest tags
+    (dense ranks up to ``most``) to ``folder/report``, as CSV.
+
+    The states of all salts are kept in ``folder/states``, one version a micro-batch; the latest ones make the sample.
+    """
+
+    def each(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/states")
+        states = df.sparkSession.read.parquet(f"{folder}/states").groupBy("salt").agg(F.max_by(F.struct("seen", "sample"), "batch").alias("x"))
+        states = states.select("salt", "x.*")
+        seen = states.agg(F.sum("seen").alias("seen"))
+        ranked = sketch.top_ranks(merged_sample(states, size), "tag", most)
+        sinks.append_csv(ranked.crossJoin(seen).select(F.lit(batch).alias("batch"), "seen", "tag", "n", "rank"), f"{folder}/report")
+
+    return each
+
+
 def run_periodic(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 5, mode: str = "append") -> StreamingQuery:
     """Start a stream that hands over a micro-batch every ``seconds``."""
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(each).start()

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import catalog
+from quarry import catalog, session
 from quarry.functions import hashing, text, vectors
 from quarry.operators import cluster, graph, itemsets, recommend, relational, similarity, sketch
 from quarry.plans import bfr, girvan_newman
@@ -18,6 +18,10 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def dealt(n):
+    return F.pmod(F.xxhash64("basket"), F.lit(n))
+
+
 @pytest.fixture
 def baskets(spark):
     data = [("1", "abc"), ("2", "ab"), ("3", "ac"), ("4", "bc")]
@@ -27,13 +31,13 @@ def baskets(spark):
 EXPECTED = [("a", 3), ("a,b", 2), ("a,c", 2), ("b", 3), ("b,c", 2), ("c", 3)]
 
 
-@pytest.mark.parametrize("how", [lambda b: itemsets.apriori(b, 2, 3), lambda b: itemsets.fpgrowth(b, 2), lambda b: itemsets.two_pass(b, 2, 2)])
+@pytest.mark.parametrize("how", [lambda b: itemsets.apriori(b, 2, 3), lambda b: itemsets.fpgrowth(b, 2), lambda b: itemsets.two_pass(b, 2, dealt(2))])
 def test_itemsets(baskets, how):
     found = how(baskets)
     assert rows(found.select(F.array_join("items", ","), "n")) == EXPECTED
 
 
-@pytest.mark.parametrize("how", [lambda b: itemsets.apriori(b, 2), lambda b: itemsets.fpgrowth(b, 2), lambda b: itemsets.two_pass(b, 2, 2)])
+@pytest.mark.parametrize("how", [lambda b: itemsets.apriori(b, 2), lambda b: itemsets.fpgrowth(b, 2), lambda b: itemsets.two_pass(b, 2, dealt(2))])
 def test_itemsets_to_the_last_level(spark, how):
     data = [("1", "abcde"), ("2", "abcde"), ("3", "abf"), ("4", "f"), ("5", "ag")]
     held = [set(items) for _, items in data]
@@ -45,19 +49,46 @@ def test_itemsets_to_the_last_level(spark, how):
 
 def test_candidates_to_the_last_level(spark):
     b = spark.createDataFrame([(b, i) for b in "12" for i in "abcde"], "basket string, item string")
-    assert itemsets.partition_candidates(b, 2, 2).count() == 31
+    assert itemsets.partition_candidates(b, 2, dealt(2)).count() == 31
 
 
 def test_pair_of_two_singletons(spark):
     b = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "a"), ("2", "b")], "basket string, item string")
-    assert rows(itemsets.two_pass(b, 2, 2).select(F.array_join("items", ","), "n")) == [("a", 2), ("a,b", 2), ("b", 2)]
+    assert rows(itemsets.two_pass(b, 2, dealt(2)).select(F.array_join("items", ","), "n")) == [("a", 2), ("a,b", 2), ("b", 2)]
 
 
 def test_candidates_hold_all_frequent(baskets):
-    found = {r[0] for r in itemsets.partition_candidates(baskets, 2, 3).select(F.array_join("items", ",")).collect()}
+    found = {r[0] for r in itemsets.partition_candidates(baskets, 2, dealt(3)).select(F.array_join("items", ",")).collect()}
     assert {k for k, _ in EXPECTED} <= found
 
 
+def test_parts_follow_the_data(baskets, monkeypatch):
+    monkeypatch.setattr(itemsets, "PART", 2)
+    assert rows(itemsets.two_pass(baskets, 2).select(F.array_join("items", ","), "n")) == EXPECTED
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 5000])
+def test_bucket_pruning_keeps_all_frequent_pairs(baskets, buckets):
+    assert rows(itemsets.pcy_pairs(baskets, 2, buckets).select(F.array_join("items", ","), "n")) == [("a,b", 2), ("a,c", 2), ("b,c", 2)]
+
+
+def test_dense_codes(spark):
+    values = [f"v{i % 70:03d}" for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(7)
+    assert rows(itemsets.dense_codes(df, "v")) == [(v, i) for i, v in enumerate(sorted(set(values)))]
+
+
+@pytest.mark.parametrize("least", [1, 3, 6])
+def test_cooccurrence_equals_all_pairs(spark, least):
+    import random
+
+    rng = random.Random(3)
+    sets = {k: {m for m in range(30) if rng.random() < (0.9 if m < 4 else 0.2)} for k in range(40)}
+    df = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms for _ in range(2)], "k long, m long")
+    want = [(a, b) for a, b in combinations(range(40), 2) if len(sets[a] & sets[b]) >= least]
+    assert rows(graph.cooccurrence(df, "k", "m", least)) == want
+
+
 def test_itemset_report(baskets):
     report = sinks.itemset_report(itemsets.apriori(baskets, 2, 2)).collect()
     assert [r["line"] for r in report] == ["('a'),('b'),('c')", "('a', 'b'),('a', 'c'),('b', 'c')"]
@@ -204,3 +235,58 @@ def test_reservoir_is_whole_when_small(spark, tmp_path):
     windows.run_available(windows.reservoir(stream, 100), lambda d, n: d.withColumn("batch", F.lit(n)).write.mode("append").parquet(out), str(tmp_path / "cp"), "update")
     latest = spark.read.parquet(out).select("salt", "seen", "sample")
     assert windows.merged_sample(latest, 100).distinct().count() == 50
+
+
+def test_model_documents_and_reports(spark, tmp_path):
+    pairs = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, similarity double")
+    sinks.pair_model(pairs, str(tmp_path / "pairs"))
+    assert rows(views.pair_model(spark, str(tmp_path / "pairs"))) == [("x", "y", 0.5)]
+    (tmp_path / "odd.json").write_text('{"b1": "x", "b2": "y", "sim": 1}\nnot json\n{"b1": "z"}\n')
+    assert rows(views.pair_model(spark, str(tmp_path / "odd.json"))) == [("x", "y", 1.0)]
+    sinks.model_document({"model": pairs, "users": pairs.select("a")}, str(tmp_path / "doc"))
+    assert rows(views.model_part(spark, str(tmp_path / "doc"), "users", "a string")) == [("x",)]
+    for _ in range(2):
+        sinks.append_csv(pairs, str(tmp_path / "csv"))
+    assert rows(views.csv_with_header(spark, str(tmp_path / "csv"), "a string, b string, similarity double")) == [("x", "y", 0.5)] * 2
+    between = spark.createDataFrame([(1, 2, 0.25), (2, 3, 1.0)], "src long, dst long, betweenness double")
+    assert [r[0] for r in sinks.betweenness_report(between).collect()] == ["('2', '3'), 1.0", "('1', '2'), 0.25"]
+
+
+def test_durations_and_shared_folders(spark):
+    said = []
+    with pytest.raises(ValueError), session.duration("took", said.append):
+        raise ValueError
+    assert said[0].startswith("took: 0.")
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster, "x")
+    cached = spark.range(3).cache()
+    session.free(cached)
+    assert not cached.is_cached
+
+
+def test_stream_reports(spark, tmp_path):
+    spark.range(500).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, "rare").otherwise("common").alias("tag")).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, tag string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "state")
+    windows.run_available(windows.reservoir(stream, 40), windows.sample_report(folder, 40), f"{folder}/checkpoint", "update")
+    report = views.csv_with_header(spark, f"{folder}/report", "batch int, seen long, tag string, n long, rank int").collect()
+    last = max(r["batch"] for r in report)
+    assert last >= 1 and {(r["tag"], r["rank"]) for r in report if r["batch"] == last} == {("common", 1), ("rare", 2)}
+    assert {r["seen"] for r in report if r["batch"] == last} == {500} and sum(r["n"] for r in report if r["batch"] == last) == 40
+
+
+def test_disconnect_rule(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+
+    def fails(df, n):
+        raise RuntimeError("HTTP 420: calm down")
+
+    windows.run_available(stream, fails, str(tmp_path / "c1"), disconnect=windows.refused())
+    with pytest.raises(Exception, match="420"):
+        windows.run_available(stream, fails, str(tmp_path / "c2"), disconnect=windows.refused(503))
