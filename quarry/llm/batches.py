@@ -6,11 +6,12 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -22,6 +23,30 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def by_groups(links: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator], Iterator]:
+    """For ``mapInArrow``: ``links`` of whole groups, of rows that are sorted by their first two columns, ``g`` and ``part``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows whose last group may go on
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            g, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            upto = int(np.argmax((g == g[-1]) & (part == part[-1])))  # where the batch's last group begins
+            if upto or (held and last != (g[-1], part[-1])):
+                ready = pa.Table.from_batches([*held, batch.slice(0, upto)], batch.schema)
+                if len(ready):
+                    yield links(ready)
+                held = []
+            held.append(batch.slice(upto))
+            last = (g[-1], part[-1])
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores appended until no column of ``taken`` has it."""
     names = {x.lower() for x in taken}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.batches import fresh, in_batches, tidy
+from quarry.llm.batches import by_groups, fresh, in_batches, tidy
 from quarry.llm.minhash import sieve_of, sieve_places
 from quarry.llm.shingles import mix, sorted_distinct
 from quarry.llm.unionfind import components, local_components
@@ -327,25 +327,7 @@ def compared(members: DataFrame, percent: int) -> DataFrame:
         moved = np.flatnonzero(root != np.arange(len(nid)))
         return pa.RecordBatch.from_arrays([pa.array(nid[moved]), pa.array(nid[root[moved]])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows whose last group may go on
-        last = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            g, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            upto = int(np.argmax((g == g[-1]) & (part == part[-1])))  # where the batch's last group begins
-            if upto or (held and last != (g[-1], part[-1])):
-                ready = pa.Table.from_batches([*held, batch.slice(0, upto)], batch.schema)
-                if len(ready):
-                    yield links(ready)
-                held = []
-            held.append(batch.slice(upto))
-            last = (g[-1], part[-1])
-        if held:
-            yield links(pa.Table.from_batches(held))
-
-    return in_batches(members.select("g", "part", "nid", "content")).mapInArrow(tidy(run), "a long, b long")
+    return in_batches(members.select("g", "part", "nid", "content")).mapInArrow(tidy(by_groups(links)), "a long, b long")
 
 
 def grouped(members: DataFrame) -> DataFrame:

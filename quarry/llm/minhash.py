@@ -6,8 +6,10 @@ of symbols that differ. ``reach`` is the largest distance that a pair of the wan
 can hold two errors or more, so that in any ``reach // 2 + 1`` chunks one holds at most one error: those chunks are
 indexed under every pattern of one allowed error, and all pairs within reach share an index key. Pairs of a key
 are not all compared: every member meets the key's first member, what links (by exact sets) is united, and only pairs
-between different components are then compared by signature, in blocks. Keys with many members are first split by a
-second, third and fourth chunk, which the same principle guarantees. Every link is confirmed on full shingle sets.
+between different components are then compared by signature, keys with the same members once. Keys with many members are cut in
+salted blocks, and each pair of blocks is compared by its own task.
+Every link is confirmed on full shingle sets, which come along with the members, nearest pairs first; pairs that are united by then
+need no confirmation, so no list of pairs leaves a task.
 
 Documents with equal sets are one node; a hot text costs a partial minimum. No text or signature goes to the driver.
 
@@ -28,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import shingles as S
-from quarry.llm.batches import in_batches, tidy
-from quarry.llm.unionfind import components
+from quarry.llm.batches import by_groups, in_batches, tidy
+from quarry.llm.unionfind import components, local_components
 from quarry.session import cut
 
 CHUNK = 4
 CHUNKS = S.SYMBOLS // CHUNK
 MISSED = 100_000
-#: Members of a key that are compared with each other in one piece; more are split first.
-BLOCK = 1024
+#: Members of a key, and shingles of their sets, that are compared with each other in one piece; more are cut in blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Bits of the bitmap that spares most texts the way through an exchange, as a power of two.
 SIEVE = 22
 
@@ -97,87 +99,85 @@ def index(nodes: DataFrame, chunks: list[int]) -> DataFrame:
     return in_batches(nodes.select("node", "signature")).mapInArrow(tidy(run), "key long, node long")
 
 
-def split_further(members: DataFrame, level: int, bad: int) -> DataFrame:
-    """Members of heavy keys under one more chunk each: ``key, used, node, component, n_shingles, signature``.
+def near_pairs(part: np.ndarray, n: np.ndarray, symbols: np.ndarray, most: int, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of rows of different components, within reach and of sizes that allow the similarity, and their distance; block by block."""
+    for i in range(0, len(part), BLOCK):
+        for j in range(0, i + 1, BLOCK):
+            x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            want = part[x, None] != part[None, y]
+            want &= 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
+            if i == j:
+                want &= np.tri(*want.shape, -1, dtype=bool)
+            r, c = np.nonzero(want)
+            for at in range(0, len(r), 1 << 17):
+                rr, cc = r[at : at + (1 << 17)] + i, c[at : at + (1 << 17)] + j
+                apart = (symbols[rr] != symbols[cc]).sum(axis=1)
+                near = apart <= most
+                yield np.stack([rr[near], cc[near], apart[near]])
 
-    ``used``: bits of the chunks in the key so far. A pair within reach has at most ``bad`` chunks with two errors or more, so any
-    ``bad + 1`` chunks not used yet hold another with at most one.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, used = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            symbols = _symbols(batch.column(5))
-            for mask in np.unique(used):
-                rows = np.flatnonzero(used == mask)
-                free = [c for c in range(CHUNKS) if not mask >> c & 1][: bad + 1]
-                keys = _chunk_keys(symbols[rows], free)
-                both = S.mix(key[rows].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ keys.astype(np.uint64)).astype(np.int64)
-                times = keys.shape[1]
-                more = np.tile(np.repeat(np.array([mask | 1 << c for c in free], np.int64), CHUNK), len(rows))
-                rest = batch.take(pa.array(np.repeat(rows, times)))
-                columns = [pa.array(both.ravel()), pa.array(more), *rest.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return in_batches(members).mapInArrow(tidy(run), members.schema)
-
-
-def cross_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
-    """``a, b`` (a > b) of different components within one key and within reach, found block by block.
-
-    ``members``: ``key, used, node, component, n_shingles, signature``, each key's rows together in one partition.
-    """
+def shared(sets: list[np.ndarray], a: int, b: int) -> int:
+    """Hashes that two sorted sets have in common."""
+    x, y = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
 
-    def pairs(node: np.ndarray, part: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> Iterator[np.ndarray]:
-        for i in range(0, len(node), BLOCK):
-            for j in range(0, i + 1, BLOCK):
-                x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                want = part[x, None] != part[None, y]
-                want &= 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
-                if i == j:
-                    want &= np.tri(*want.shape, -1, dtype=bool)
-                r, c = np.nonzero(want)
-                for at in range(0, len(r), 1 << 18):
-                    rr, cc = r[at : at + (1 << 18)] + i, c[at : at + (1 << 18)] + j
-                    near = (symbols[rr] != symbols[cc]).sum(axis=1) <= most
-                    yield np.stack([np.maximum(node[rr[near]], node[cc[near]]), np.minimum(node[rr[near]], node[cc[near]])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = table.column("key").to_numpy()
-            edges = np.flatnonzero(np.diff(key)) + 1
-            node, part, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-            symbols = _symbols(table.column("signature"))
-            out = [
-                p
-                for lo, hi in zip([0, *edges], [*edges, len(key)], strict=True)
-                for p in pairs(node[lo:hi], part[lo:hi], n[lo:hi], symbols[lo:hi])
-            ]
-            if out:
-                found = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+def united(root: np.ndarray, pairs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Those of ``pairs`` (rows and distance) that are similar on full sets, enough to unite all that any of them would.
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            key = batch.column(0).to_numpy()
-            first = int(np.argmax(key == key[-1]))  # the last key may go on in the next batch
-            if len(held) > 1 and held[0].column(0)[-1].as_py() == key[-1] and first == 0:
-                continue
-            if first or len(held) > 1:
-                table = pa.Table.from_batches([*held[:-1], batch.slice(0, first)])
-                rest = batch.slice(first)
-                if len(table) and table.column("key")[-1].as_py() == key[-1]:
-                    continue
-                yield from flush(table)
-                held = [rest]
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    return in_batches(members).mapInArrow(tidy(run), "a long, b long")
+    ``root``: what is united already. In rounds, the nearest pair still open between any two components is confirmed or dropped.
+    """
+    found: list[tuple[int, int]] = []
+    pairs = pairs[:, np.lexsort((pairs[0], pairs[1], pairs[2]))]
+    while pairs.shape[1]:
+        x, y = root[pairs[0]], root[pairs[1]]
+        pairs, x, y = pairs[:, x != y], x[x != y], y[x != y]
+        first = np.unique(np.minimum(x, y) * len(root) + np.maximum(x, y), return_index=True)[1]
+        new = []
+        for i in first:
+            a, b = int(pairs[0, i]), int(pairs[1, i])
+            n = shared(sets, a, b)
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                new.append((a, b))
+        pairs = np.delete(pairs, first, axis=1)
+        if new:
+            found += new
+            root = local_components(len(root), np.stack([root[[a for a, _ in new]], root[[b for _, b in new]]]))[root]
+    return found
+
+
+def compared(members: DataFrame, most: int, percent: int) -> DataFrame:
+    """``a, b`` (a > b): links that unite the similar members of each group, beyond their components.
+
+    ``members``: ``g, part, node, component, n_shingles, signature, set``, each group's rows together in one partition.
+    """
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        g, part = table.column("g").to_numpy(), table.column("part").to_numpy()
+        edges = np.flatnonzero((np.diff(g) != 0) | (np.diff(part) != 0)) + 1
+        node, first, row = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
+        component, n = (table.column(c).to_numpy()[first] for c in ("component", "n_shingles"))
+        own = table.take(pa.array(first))
+        symbols = _symbols(own.column("signature"))
+        sets = [np.frombuffer(x, np.uint64) for x in own.column("set").to_pylist()]
+        near = [
+            np.stack([np.maximum(at[p[0]], at[p[1]]), np.minimum(at[p[0]], at[p[1]]), p[2]])
+            for at in (row[lo:hi] for lo, hi in zip([0, *edges], [*edges, len(g)], strict=True))
+            for p in near_pairs(component[at], n[at], symbols[at], most, percent)
+        ]
+        pairs = np.concatenate(near, axis=1) if near else np.empty((3, 0), np.int64)
+        key, at = np.unique(pairs[0] * len(node) + pairs[1], return_index=True)
+        root = np.unique(component, return_inverse=True)[1]
+        root = np.unique(component, return_index=True)[1][root]  # a row of each component stands for it
+        found = united(root, pairs[:, at], sets, percent)
+        a, b = (np.array([node[p[k]] for p in found], np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return in_batches(members.select("g", "part", "node", "component", "n_shingles", "signature", "set")).mapInArrow(
+        tidy(by_groups(links)), "a long, b long"
+    )
 
 
 def within_reach(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) -> DataFrame:
@@ -216,10 +216,9 @@ def sieve_of(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` with 100 * intersection >= percent * union of their full sets; ``texts``: ``node, text``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sieve = sieve_of(ends)
+def full_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, set`` of those nodes; ``texts``: ``node, text``."""
+    sieve = sieve_of(nodes)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +228,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             found = [s.tobytes() for s in S.sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
-    full = in_batches(texts).mapInArrow(tidy(make, S.forget), "node long, set binary").join(ends, "node", "left_semi")
+    return in_batches(texts).mapInArrow(tidy(make, S.forget), "node long, set binary").join(nodes, "node", "left_semi")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``a, b`` with 100 * intersection >= percent * union of their full sets; ``texts``: ``node, text``."""
+    full = full_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     of_a = full.select(F.col("node").alias("a"), F.col("set").alias("x"))
     of_b = full.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y")
@@ -266,35 +270,30 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     first = cut(confirmed(cut(within_reach(starred, nodes, most, percent)), texts, percent))
 
     parts = cut(labelled(nodes, components(first)))
-    known = shared.join(parts.select("node", "component"), "node")
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-    mixed = mixed.where(F.col("lo") < F.col("hi")).select("key", "members")
-    members = shared.join(mixed, "key").select("key", "node", "members")
-    members = members.withColumn("used", F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {(CHUNK - 1) * S.BITS}) div {CHUNK}))"))
+    known = shared.join(parts.select("node", "component", "n_shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks)
+    mixed = mixed.where(F.col("lo") < F.col("hi")).select("key", "blocks")
+    members = cut(shared.join(mixed, "key").select("key", "node", "blocks"))
+    groups = cut(together(members.where(F.col("blocks") == 1)).unionByName(block_pairs(members.where(F.col("blocks") > 1))))
     detail = parts.select("node", "component", "n_shingles", "signature")
-    members = cut(members.join(detail, "node").select("key", "used", "node", "component", "n_shingles", "signature", "members"))
-    found = []
-    for level in range(2, CHUNKS - bad + 1):
-        plain = members.drop("members")
-        found.append(members.where(F.col("members") <= BLOCK).drop("members"))
-        heavy = plain.join(members.where(F.col("members") > BLOCK).select("key").distinct(), "key", "left_semi")
-        if heavy.isEmpty():
-            members = None
-            break
-        again = split_further(heavy.select("key", "used", "node", "component", "n_shingles", "signature"), level, bad)
-        counts = again.groupBy("key").agg(
-            F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        )
-        members = cut(again.join(counts.where(F.col("lo") < F.col("hi")).select("key", "members"), "key"))
-    if members is not None:  # what no further chunk splits is compared in blocks all the same
-        found.append(members.drop("members"))
-    crossed = None
-    for part in found:
-        part = cross_pairs(part.repartition("key").sortWithinPartitions("key"), most, percent)
-        crossed = part if crossed is None else crossed.unionByName(part)
-    crossed = crossed.distinct().join(first, ["a", "b"], "left_anti")
-    second = confirmed(cut(crossed), texts, percent)
-    return first.unionByName(second)
+    full = full_sets(texts, groups.select("node").distinct())
+    ready = groups.join(detail.join(full, "node"), "node").repartition("g", "part").sortWithinPartitions("g", "part")
+    return first.unionByName(compared(ready, most, percent))
+
+
+def together(members: DataFrame) -> DataFrame:
+    """``g, part, node``: keys with the same members are one group."""
+    sets = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()  # a block at most
+    return sets.select(F.xxhash64("nodes").alias("g"), F.lit(0).cast("long").alias("part"), F.explode("nodes").alias("node"))
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """``g, part, node``: each pair of a key's salted blocks is a group."""
+    salted = members.select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    spread = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.col("block") != F.col("other"))
+    pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return spread.select(F.col("key").alias("g"), pair.alias("part"), "node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -222,11 +222,14 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.createDataFrame(corpus(), SCHEMA)
+    for name in ("_text", "_m", "_lang", "_common", "_words", "_classes", "_kept", "_barrier", "_gone", "_n_kept", "id", "lines", "new", "hi", "key"):
+        docs = docs.withColumn(name, F.lit(name))
     counts = []
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         if name != "best_fit_packing":
             assert out.columns == docs.columns
+            assert {(r["_text"], r["_m"], r["_gone"], r["id"]) for r in out.collect()} == {("_text", "_m", "_gone", "id")}
         out = spark.createDataFrame(out.collect(), out.schema)
         counts.append(out.count())
         docs = out

@@ -253,6 +253,22 @@ def test_chains_of_near_copies(spark, monkeypatch, block):
     assert found == brute_groups(rows, 85)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_template_families(spark, monkeypatch, block):
+    """Members that are 70 to 90 % alike: candidates by the hundred, links only from 85 % on."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(70):
+        words, at = list(base), rng.randrange(150)
+        n = rng.randrange(4, 46)
+        words[at : at + n] = [f"x{i}.{k}" for k in range(n)]
+        rows.append((i, " ".join(words), None, None, None, None, None, None))
+    found = collections.Counter((r[0], r[1], r[2]) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 85).collect())
+    assert found == brute_groups(rows, 85)
+
+
 def test_pigeonhole():
     """Every pair within reach shares a key, wherever its errors are."""
     rng = np.random.default_rng(4)
