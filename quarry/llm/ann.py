@@ -15,7 +15,7 @@ construction.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without label, are linked with
 nothing; vectors of different dimensions are never linked; equal vectors are linked with each other; rows that share an id
 are vectors of their own, with the smallest id of their component; a null id is kept, and its component is null; an empty table
-gives no rows; other columns are not read.
+gives no rows; other columns, whatever their names, are not read; components are read as doubles unless they are floats.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.unionfind import components, local_components
 from quarry.session import cut
@@ -257,7 +258,8 @@ def divided(groups: DataFrame, made: DataFrame, least: float) -> DataFrame:
                 yield pd.concat(out)[["node", "times", "vector", "own", "shard"]]
 
     joined = groups.join(made, "shard").select("node", "times", "vector", "own", "shard", "centroids")
-    return joined.mapInPandas(assign, "node long, times long, vector array<float>, own boolean, shard string")
+    kind = groups.schema["vector"].dataType.simpleString()
+    return joined.mapInPandas(assign, f"node long, times long, vector {kind}, own boolean, shard string")
 
 
 def shards(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -334,8 +336,9 @@ def missed(nodes: DataFrame, members: DataFrame, counts: DataFrame, least: float
 
 def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``."""
+    kind = "array<float>" if table.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
     rows = cut(
-        table.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label").withColumn(
+        table.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label").withColumn(
             "good", good_vector() & F.col("vec_id").isNotNull()
         )
     )
@@ -373,8 +376,8 @@ def near_duplicates(table: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
             {
                 "node": ids,
                 "root": ids[root],
-                "linked": [ids[b].tolist() for b in linked],
-                "times": [times[b].tolist() for b in linked],
+                "linked": [ids[b] for b in linked],
+                "times": [times[b] for b in linked],
             }
         )
 
