@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import shift_hash
+from quarry.session import cut
 
 LEAST_VARIANCE = 1e-12
 
 
-def shared_counts(members: DataFrame, key: str, member: str) -> DataFrame:
-    """``a, b, shared`` (a < b): pairs of keys with common members, by an equi-join on the member."""
-    left = members.select(F.col(key).alias("a"), member)
-    right = members.select(F.col(key).alias("b"), member)
-    return left.join(right, member).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def rarest_first(members: DataFrame, key: str, member: str) -> DataFrame:
+    """``k, all``: each key's distinct members, the rarest ones first."""
+    members = cut(members.select(F.col(key).alias("k"), F.col(member).alias("m")).distinct())
+    ranked = members.join(members.groupBy("m").agg(F.count(F.lit(1)).alias("n")), "m")
+    listed = ranked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("all"))
+    return listed.select("k", F.transform("all", lambda x: x["m"]).alias("all"))
+
+
+def prefix_pairs(listed: DataFrame, least: Column) -> DataFrame:
+    """``a, b, x, y`` (a < b, their members): keys that may share ``least`` members, a number for each key of ``all``.
+
+    Two keys that do share one among the first n - ``least`` + 1 of each (n: members of the key), so only those are joined: with
+    the rarest first, hot members are seldom among them.
+    """
+    listed = cut(listed)
+    rare = listed.select("k", F.explode(F.slice("all", F.lit(1), F.greatest(F.lit(0), F.size("all") - least + 1).cast("int"))).alias("m"))
+    met = rare.withColumnRenamed("k", "a").join(rare.withColumnRenamed("k", "b"), "m").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    of_a, of_b = listed.select(F.col("k").alias("a"), F.col("all").alias("x")), listed.select(F.col("k").alias("b"), F.col("all").alias("y"))
+    return met.join(of_a, "a").join(of_b, "b")
 
 
 def jaccard(members: DataFrame, key: str, member: str, least: float, candidates: DataFrame | None = None) -> DataFrame:
-    """``a, b, similarity`` of at least ``least``; of ``candidates`` (``a, b``) only, if given."""
+    """``a, b, similarity`` of at least ``least``, which is above 0; of ``candidates`` (``a, b``) only, if given.
+
+    Without candidates only keys that meet in a rare member are compared (see ``prefix_pairs``): a set of n shares at least
+    ``least`` * n members with one that is similar enough.
+    """
+    if candidates is None:
+        met = prefix_pairs(rarest_first(members, key, member), F.greatest(F.lit(1), F.ceil(least * F.size("all") - 1e-9)))
+        shared = F.size(F.array_intersect("x", "y"))
+        value = shared / (F.size("x") + F.size("y") - shared)
+        return met.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= least)
     members = members.select(key, member).distinct()
     size = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    if candidates is None:
-        pairs = shared_counts(members, key, member)
-    else:
-        left = candidates.join(members.select(F.col(key).alias("a"), member), "a")
-        both = left.join(members.select(F.col(key).alias("b"), member), ["b", member])
-        pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    left = candidates.join(members.select(F.col(key).alias("a"), member), "a")
+    both = left.join(members.select(F.col(key).alias("b"), member), ["b", member])
+    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     pairs = pairs.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a")
     pairs = pairs.join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
     value = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))

@@ -78,6 +78,17 @@ def test_dense_codes(spark):
     assert rows(itemsets.dense_codes(df, "v")) == [(v, i) for i, v in enumerate(sorted(set(values)))]
 
 
+@pytest.mark.parametrize("least", [0.05, 0.2, 0.35, 1.0])
+def test_jaccard_equals_all_pairs(spark, least):
+    import random
+
+    rng = random.Random(5)
+    sets = {k: frozenset(m for m in range(20) if rng.random() < (0.9 if m < 3 else 0.3)) for k in range(40)} | {90: frozenset({1, 7}), 91: frozenset({1, 7})}
+    df = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms], "k long, m long")
+    want = [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least]
+    assert rows(similarity.jaccard(df, "k", "m", least).select("a", "b")) == want and want
+
+
 @pytest.mark.parametrize("least", [1, 3, 6])
 def test_cooccurrence_equals_all_pairs(spark, least):
     import random
