@@ -9,8 +9,9 @@ runs over any word.
 
 Results for odd input: a null text is the empty text (no ids, empty decoding); an empty text likewise;
 special tokens spelled out in a text become their own ids, as in the library; long words and long texts
-are encoded whole, in time linear in their length. Rows keep their multiplicity; columns other than
-those asked for are ignored.
+are encoded whole, in time linear in their length. Rows keep their multiplicity; an empty table gives no
+rows; columns other than those asked for, whatever their names, are ignored. What a task remembers of its
+texts is dropped when it ends.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Entries that a worker remembers in each of two generations; older ones are dropped and made again.
-MEMO = 600_000
+from quarry.llm.batches import in_batches, tidy
+
+#: Entries that a task remembers in each of two generations; older ones are dropped and made again.
+MEMO = 200_000
+#: Pairs of a token and what may follow it that a worker remembers.
+FOLLOWED = 400_000
 END = "</w>"
 #: Below this code point, letter and digit classes are the same in every Unicode version in use.
 STABLE = 0x0530
@@ -71,7 +76,7 @@ class Memo(dict):
 
 
 class Encoder:
-    """Encoder and decoder of one vocabulary file; one per Python worker (see ``load``)."""
+    """Encoder and decoder of one vocabulary file; one for each task (see ``load``)."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -173,7 +178,7 @@ class Encoder:
         if t >= 0 and a >= 0 and not self.stable(a, t):
             t = -1
         self.followed += 1
-        if self.followed > 4 * MEMO:
+        if self.followed > FOLLOWED:
             self.followed = 0
             for known in (*self.follow, *self.end_follow):
                 known.clear()
@@ -240,7 +245,7 @@ class Encoder:
             chunks = [] if not text else text.split() if not ODD.search(text) else [c for c in SPACES.split(text) if c]
             group.append(chunks)
             held += len(chunks)
-            if held > 500_000:
+            if held > 200_000:
                 yield from self._encode(group)
                 group, held = [], 0
         yield from self._encode(group)
@@ -263,8 +268,9 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load(path: str) -> Encoder:
+    """The encoder of a task; ``load.cache_clear`` at its end, as a worker goes on to other things with what it holds."""
     return Encoder(path)
 
 
@@ -278,7 +284,7 @@ def encode_with(
         for batch in batches:
             yield project(encoder, batch.column(0), encoder.encode(batch.column(1).to_pylist()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run, load.cache_clear), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -300,7 +306,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [encoder.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", F.col("ids").cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return in_batches(encoded.select("doc_id", F.col("ids").cast("array<long>").alias("ids"))).mapInArrow(tidy(run, load.cache_clear), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -8,8 +8,6 @@ bytes. A row that is taken is taken whole, whatever its length.
 
 from __future__ import annotations
 
-import functools
-
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +59,6 @@ def dictionary(texts: list[str], size: int = SIZE) -> bytes:
     return b"\n".join(parts)
 
 
-@functools.lru_cache(maxsize=12)
 def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     if len(content) < 8:  # no dictionary to speak of
         return zstandard.ZstdCompressor(level=level)

@@ -7,7 +7,8 @@ each size counts as a code length, tempered by ``TEMPER`` bytes.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, margin 0 and rejected; ties go to
 the language with most labelled rows, then to the first by name, with margin 0, so they are rejected; without any
-labelled row every text is ``und``. Rows keep their multiplicity, and columns beside id and text are not read.
+labelled row every text is ``und``. Long texts count whole, piece by piece. Rows keep their multiplicity; an empty table gives no
+rows; columns beside id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import in_batches, release, tidy
 from quarry.llm.compression import compressor, dictionary, labelled_sample, sizes
 
 #: Below this many bytes of margin for each byte of letters, the language stays open.
@@ -71,7 +73,7 @@ def predict(docs: DataFrame, model: Model, least_margin: float = LEAST_MARGIN) -
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     schema = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), schema)
 
 
 def fold(key: str, parts: int) -> F.Column:
@@ -95,25 +97,23 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_margin: float = LEAST_MARGIN) -> DataFrame:
     """The documents whose language is found, all columns kept and ``lang`` as labelled.
 
-    The prediction runs beside each row, so that repeated or null ids need no join back.
+    The prediction runs beside each row, so that repeated or null ids need no join back; only texts go to Python.
     """
     model = fit(docs, docs.select("doc_id", "lang"))
-    columns = docs.columns
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text"))
-    schema = numbered.select("row").schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def good(text: str | None, compressors: list) -> bool:
+        if not (text and compressors and (PLAIN.search(text) or LETTER.search(text))):
+            return False
+        data = letters(text)
+        size = sorted(sizes(data, compressors))
+        return len(size) < 2 or (size[1] - size[0]) / len(data) >= least_margin
+
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = [compressor(content) for _, content in model]
-        langs = [lang for lang, _ in model]
-        for batch in batches:
-            keep = []
-            for text in batch.column(1).to_pylist():
-                good = False
-                if text and langs and (PLAIN.search(text) or LETTER.search(text)):
-                    data = letters(text)
-                    size = sorted(sizes(data, compressors))
-                    good = len(size) < 2 or (size[1] - size[0]) / len(data) >= least_margin
-                keep.append(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(pa.array(keep, pa.bool_()))
-
-    return numbered.mapInArrow(run, schema).select("row.*")
+        for texts in batches:
+            yield pa.array([good(text, compressors) for text in texts.to_pylist()], pa.bool_())
+        del compressors
+        release()
+
+    return in_batches(docs).where(identified("text"))

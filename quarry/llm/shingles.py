@@ -11,7 +11,7 @@ WIDTH = 5
 #: Symbols of a signature and their bits.
 SYMBOLS, BITS = 64, 16
 #: Words that a task remembers.
-MEMO = 1 << 18
+MEMO = 1 << 17
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _random = np.random.default_rng(20240229)
 PLACE = _random.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,6 +73,6 @@ def sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """``SYMBOLS`` symbols of ``BITS`` bits: from the least value of the set under each of as many hash functions."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, ((shingles[None, at : at + 4096] ^ XOR[:, None]) * MULTIPLY[:, None]).min(axis=1))
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, ((shingles[None, at : at + 1024] ^ XOR[:, None]) * MULTIPLY[:, None]).min(axis=1))
     return (mix(least) >> np.uint64(64 - BITS)).astype(np.uint16)

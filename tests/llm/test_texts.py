@@ -393,6 +393,25 @@ def test_language(docs, none):
     assert kept.columns == docs.columns and {203, 204, 205, 206}.isdisjoint(r["doc_id"] for r in kept.select("doc_id").collect())
 
 
+def test_long_texts_are_learned_whole(spark):
+    """A language whose labelled texts are all long, and begin in another one, is learned from what follows."""
+    rng = random.Random(13)
+    start = sentence(rng, VOCABULARY["en"], 300)
+    rows = [(i, sentence(rng, VOCABULARY["en"], 60), "en") for i in range(40)]
+    rows += [(100 + i, start + " " + sentence(rng, VOCABULARY["de"], 6000), "de") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, df.select("doc_id", "lang"))
+    asked = spark.createDataFrame([(1, sentence(rng, VOCABULARY["de"], 40)), (2, sentence(rng, VOCABULARY["en"], 40))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(asked, model).collect()} == {1: "de", 2: "en"}
+
+
+def test_quality_of_empty_tables(spark, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.assess(none, labels).count() == 0
+    lone = spark.createDataFrame([(9, "a text")], "doc_id long, text string")
+    assert 0 < quality.assess(lone, labels).first()["score"] < 1
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, sentence(rng, VOCABULARY["en"], 60)) for i in range(300)]
