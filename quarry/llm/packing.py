@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm import bpe
-from quarry.llm.batches import fresh, in_batches
+from quarry.llm import tokens
+from quarry.llm.batches import fresh, in_batches, tidy
 from quarry.session import cut
 
 CAPACITY = 2048
@@ -221,7 +221,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, separato
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and the separator, cut only where too long."""
     end = int(separator).to_bytes(4, "little")
 
-    def project(encoder: bpe.Encoder, doc_ids: pa.Array, ids: Iterator[bytes]) -> pa.RecordBatch:
+    def project(doc_ids: pa.Array, ids: Iterator[bytes]) -> pa.RecordBatch:
         rows, piece, start, length, crc = [], [], [], [], []
         step = capacity * 4
         for at, data in enumerate(ids):
@@ -237,7 +237,12 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, separato
         columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return bpe.encode_with(docs, path, project, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.Encoder(path)
+        for batch in batches:
+            yield project(batch.column(0), map(encoder.encode, batch.column(1).to_pylist()))
+
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Places(NamedTuple):

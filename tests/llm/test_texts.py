@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, langid, lines, minhash, packing, quality, rules, shards, shingles
+from quarry.llm import bpe, langid, lines, minhash, packing, quality, rules, shards, shingles, tokens
 from quarry.llm.unionfind import components
 
 from .conftest import SCHEMA, VOCABULARY, corpus, sentence
@@ -85,6 +85,33 @@ def test_encode_and_decode(spark):
 # --- packing
 
 
+def ids(encoder, text):
+    return np.frombuffer(encoder.encode(text), "<u4").tolist()
+
+
+def test_packed_ids_are_the_library_s(monkeypatch):
+    """All Latin characters and some others, in every kind of neighbourhood, with a memory of 50 pieces."""
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    rng = random.Random(4)
+    letters = ["a", "Th", "ing", "'s", "'LL", "É", "²", "½", "9", "!", "..", " ", "\n", "ŉ", "Ɓ", "Ⱥ", "İ", "ı", "Σ", "\u0308", "\x00", "\x1c", "\x85", "\xa0", "中", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [f"x{c}1{c}{c} {c}'s A'{c}'{c}S !'{c}%. {c}" for c in map(chr, range(0x300))]
+    library, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    for text in texts:
+        assert ids(encoder, text) == library.encode(text or "", add_special_tokens=False).ids, text
+    assert len(encoder.codes) <= 50 and len(encoder.codes.old) <= 50
+
+
+def test_packing_encodes_a_word_once():
+    """Whatever its case, the punctuation around it and the text it comes in: most of the time goes to words that are seen first."""
+    encoder, asked = tokens.Encoder(PATH), collections.Counter()
+    tokenize = encoder.codes.tokenize
+    encoder.codes.tokenize = lambda word: asked.update([word]) or tokenize(word)
+    for text in ("The sea, the isle.", "THE SEA; the isle! (sea)", "Isle: sea.", "the\tsea\nisle", "The sea \u2013 the isle!"):
+        encoder.encode(text)
+    assert set(asked.values()) == {1} and asked.keys() == {"the", "sea", "isle", ",", ".", ";", "!", "(", ")", ":"}
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_patterns_use_every_piece(seed):
     rng = random.Random(seed)
